@@ -1,6 +1,10 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from . import mixing
+from . import langid, mixing, packing
 
-QUERIES = {"op1_mixing": mixing.op1_mixing}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op9_packing": packing.op9_packing,
+    "op10_langid": langid.op10_langid,
+}
 ORACLE = {"op1_mixing": mixing.ORACLE_SQL}
