@@ -1,9 +1,10 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from . import langid, mixing, packing
+from . import langid, minhash, mixing, packing
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op8_minhash": minhash.op8_minhash,
     "op9_packing": packing.op9_packing,
     "op10_langid": langid.op10_langid,
 }
