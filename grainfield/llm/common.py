@@ -150,3 +150,29 @@ class Words:
     def same(self, k: int) -> np.ndarray:
         """Whether the k words from each place on are all of one row."""
         return self.row[k - 1 :] == self.row[: len(self.row) - k + 1] if len(self.row) >= k else np.zeros(0, bool)
+
+    def runs(self, seed: int) -> RunHash:
+        """Hashes of runs of words of any length."""
+        return RunHash(self.hash, seed)
+
+
+class RunHash:
+    """Hashes of any runs of words, from sums over all words before each place."""
+
+    def __init__(self, hashes: np.ndarray, seed: int):
+        self.base = np.uint64((0xA0761D6478BD642F + 2 * seed) & (2**64 - 1) | 1)
+        self.total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(mix64(hashes + np.uint64(seed)) * powers(self.base, len(hashes)), out=self.total[1:])
+        self.inv = powers(np.uint64(pow(int(self.base), -1, 1 << 64)), len(hashes) + 1)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.total[end] - self.total[start]) * self.inv[start] + (end - start).astype(np.uint64))
+
+
+def slide(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op (minimum or maximum) over each width neighbours."""
+    span = 1
+    while 2 * span <= width:
+        a = op(a[:-span], a[span:])
+        span *= 2
+    return op(a[: len(a) - (width - span)], a[width - span :]) if width > span else a

@@ -1,9 +1,10 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from . import langid, minhash, mixing, packing
+from . import langid, minhash, mixing, packing, substring
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_substring": substring.op4_substring,
     "op8_minhash": minhash.op8_minhash,
     "op9_packing": packing.op9_packing,
     "op10_langid": langid.op10_langid,
