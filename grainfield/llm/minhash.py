@@ -54,10 +54,10 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
             np.not_equal(own[1:], own[:-1], out=keep[1:])
             sets.append(own[keep])
         elif n:
-            h = np.uint64(0)
-            for x in w.hash[first:last]:
-                h = mix64(np.array([h + x], np.uint64))[0]
-            sets.append(np.array([h], np.uint64))
+            h = np.zeros(1, np.uint64)
+            for i in range(first, last):
+                h = mix64(h + w.hash[i : i + 1])
+            sets.append(h)
         else:
             sets.append(np.zeros(0, np.uint64))
     off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)

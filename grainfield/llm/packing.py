@@ -169,7 +169,7 @@ def pack(cut: DataFrame, size: int = 1024) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = StructType([*ranked.select(*names).schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema).select(*cut.columns, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
