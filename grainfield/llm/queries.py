@@ -1,12 +1,18 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from . import langid, minhash, mixing, packing, substring
+from . import embed_dedup, knn, langid, minhash, mixing, packing, substring
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_topk": knn.op2_topk,
     "op4_substring": substring.op4_substring,
+    "op7_embedding_dedup": embed_dedup.op7_embedding_dedup,
     "op8_minhash": minhash.op8_minhash,
     "op9_packing": packing.op9_packing,
     "op10_langid": langid.op10_langid,
 }
-ORACLE = {"op1_mixing": mixing.ORACLE_SQL}
+ORACLE = {
+    "op1_mixing": mixing.ORACLE_SQL,
+    "op2_topk": knn.ORACLE_SQL,
+    "op7_embedding_dedup": embed_dedup.ORACLE_SQL,
+}
