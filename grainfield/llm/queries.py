@@ -1,10 +1,11 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from . import embed_dedup, knn, langid, minhash, mixing, packing, substring
+from . import chat, embed_dedup, knn, langid, minhash, mixing, packing, substring
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_topk": knn.op2_topk,
+    "op3_chat": chat.op3_chat,
     "op4_substring": substring.op4_substring,
     "op7_embedding_dedup": embed_dedup.op7_embedding_dedup,
     "op8_minhash": minhash.op8_minhash,
@@ -14,5 +15,6 @@ QUERIES = {
 ORACLE = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_topk": knn.ORACLE_SQL,
+    "op3_chat": chat.ORACLE_SQL,
     "op7_embedding_dedup": embed_dedup.ORACLE_SQL,
 }
