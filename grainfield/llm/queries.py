@@ -1,12 +1,13 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from . import chat, embed_dedup, knn, langid, minhash, mixing, packing, substring
+from . import chat, embed_dedup, knn, langid, minhash, mixing, packing, substring, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_topk": knn.op2_topk,
     "op3_chat": chat.op3_chat,
     "op4_substring": substring.op4_substring,
+    "op5_warc": warc.op5_warc,
     "op7_embedding_dedup": embed_dedup.op7_embedding_dedup,
     "op8_minhash": minhash.op8_minhash,
     "op9_packing": packing.op9_packing,
@@ -16,5 +17,6 @@ ORACLE = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_topk": knn.ORACLE_SQL,
     "op3_chat": chat.ORACLE_SQL,
+    "op5_warc": warc.ORACLE_SQL,
     "op7_embedding_dedup": embed_dedup.ORACLE_SQL,
 }
