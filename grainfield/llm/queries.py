@@ -1,6 +1,6 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from . import chat, embed_dedup, knn, langid, minhash, mixing, packing, substring, warc
+from . import chat, embed_dedup, katz, knn, langid, minhash, mixing, packing, substring, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_chat": chat.op3_chat,
     "op4_substring": substring.op4_substring,
     "op5_warc": warc.op5_warc,
+    "op6_katz": katz.op6_katz,
     "op7_embedding_dedup": embed_dedup.op7_embedding_dedup,
     "op8_minhash": minhash.op8_minhash,
     "op9_packing": packing.op9_packing,
