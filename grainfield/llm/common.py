@@ -176,3 +176,24 @@ def slide(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
         a = op(a[:-span], a[span:])
         span *= 2
     return op(a[: len(a) - (width - span)], a[width - span :]) if width > span else a
+
+
+def pack(a: np.ndarray) -> bytes:
+    """A 64-bit column as compressed byte planes."""
+    import zstandard
+
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(b: bytes, kind=np.int64) -> np.ndarray:
+    """The column that ``pack`` was given."""
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def hash_parts(h: np.ndarray, n: int) -> np.ndarray:
+    """Partition of each 64-bit hash, ascending with it."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,16 @@ def _state(e: DataFrame) -> tuple:
     """Count and an order-free digest of an edge list."""
     row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
     return row["n"], row["s"]
+
+
+def join_roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The forest with the trees of i and j joined pairwise; every node points to its root."""
+    while True:
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return parent
+        i, j = i[apart], j[apart]
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import connected_components
+from .components import connected_components, join_roots
 from .vectors import matrix, usable
 
 #: Vectors of a tile, and of a block inside a tile product.
@@ -71,19 +71,6 @@ def linked(a: Quantised, b: Quantised, threshold: float, same: bool):
                     yield p[keep], q[keep]
 
 
-def join_roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The forest with the trees of i and j joined pairwise; every node points to its root."""
-    while True:
-        a, b = parent[i], parent[j]
-        apart = a != b
-        if not apart.any():
-            return parent
-        i, j = i[apart], j[apart]
-        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while (up := parent[parent]).tobytes() != parent.tobytes():
-            parent = up
-
-
 def _tile_pair(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         side = table.column("tile").to_numpy() == table.column("lo")[0].as_py()

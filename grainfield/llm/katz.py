@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, crc_mod, mix64, scratch_path, small_batches
+from .common import Words, crc_mod, hash_parts, mix64, pack, scratch_path, small_batches, unpack
 
 #: Largest discounted count; bytes of text in a block.
 K, BLOCK = 5, 1 << 22
@@ -40,22 +40,6 @@ _END = np.uint64(0x2545F4914F6CDD1D)
 UNKNOWN, BEGIN, FIRST = 0, 1, 2
 
 
-def pack(a: np.ndarray) -> bytes:
-    """A 64-bit column as compressed byte planes."""
-    import zstandard
-
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(b: bytes, kind=np.int64) -> np.ndarray:
-    """The column that ``pack`` was given."""
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def discounts(n: list[int]) -> np.ndarray:
     """d(1..K) from the counts of counts n(1..K+1)."""
     r, c = np.arange(1, K + 1), np.array(n[: K + 1], np.float64)
@@ -87,11 +71,6 @@ class Unigrams:
         return p
 
 
-def _parts(h: np.ndarray, n: int) -> np.ndarray:
-    """Partition of each 64-bit hash, ascending with it."""
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]):
     """Blocks of (doc_id, train, held, text) rows: id, the three columns, words and end token of all texts as numbers into the sorted
     distinct hashes, and tokens of each document."""
@@ -125,7 +104,7 @@ def _requests(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, (_, train, _), u, inverse, sizes in _blocks(batches):
             counts = np.bincount(inverse, np.repeat(_mask(train), sizes), len(u)).astype(np.int64)
-            at = np.searchsorted(_parts(u, n), np.arange(n + 1))
+            at = np.searchsorted(hash_parts(u, n), np.arange(n + 1))
             rows = [(block, p, pack(np.diff(u[a:b], prepend=np.uint64(0))), pack(counts[a:b])) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "p", "words", "counts"])
 
@@ -209,7 +188,7 @@ def _triples(n: int, total: int, distinct: int, texts: int, unigrams: Unigrams,
         h, w, d, c, ch = (x[new] for x in (h, w, d, c, ch))
         key = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         key[ch > hot] += (w[ch > hot] + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        p = _parts(mix64(key), n)
+        p = hash_parts(mix64(key), n)
         order = np.argsort(p.astype(np.uint16) if n < 1 << 16 else p, kind="stable")
         at = np.searchsorted(p[order], np.arange(n + 1))
         columns = [h, w, d * 2 + train[d], times, c, ch]
