@@ -1,4 +1,278 @@
-"""Queries of the factor jobs; filled in with the operators."""
+"""Registered queries of the factor jobs, and the same in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+import tempfile
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.grid import voxel_id
+from ..operators import algebra, report
+from ..operators.model import Model, fit, moments_of
+from ..operators.moments import mean_spectrum, second_moments
+from ..operators.select import select_ions
+from ..operators.voxels import dense_rows, ion_type_counts, nonempty_voxels, voxel_counts, voxelize
+from ..sources.tables import assign_ion_id, explode_grid
+from ..streaming.select import select_stream, to_parquet
+from .recipes import EVENT_TYPES, GRID, ISOVALUE, NAMES, PHASE2, PHASE3, as_ions, event_counts, ion_types, lineitem_ions
+
+
+def _matrix(spark: SparkSession, d: str, recipe: str) -> DataFrame:
+    return voxelize(lineitem_ions(spark, d, recipe), NAMES[recipe], GRID)
+
+
+def _fitted(spark: SparkSession, d: str, recipe: str = "phase2", p: int = 1, tol: float = 1e-8) -> tuple[DataFrame, Model]:
+    m = _matrix(spark, d, recipe)
+    return m, fit(m, len(NAMES[recipe]), p, tol)
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    m, model = _fitted(spark, d)
+    return model.transform(m)
+
+
+def voxel_ids(spark, d):
+    ions = lineitem_ions(spark, d, "phase2")
+    return ions.select("l_orderkey", "l_linenumber", voxel_id(F.col("x"), F.col("y"), F.col("z"), GRID, "strict").alias("voxel_id"))
+
+
+def voxel_counts_q(spark, d):
+    return voxel_counts(lineitem_ions(spark, d, "phase3"), NAMES["phase3"], GRID)
+
+
+def voxel_matrix(spark, d):
+    x = F.col("x")
+    return _matrix(spark, d, "phase3").select("voxel_id", *[x[i].cast("long").alias(c) for i, c in enumerate("abc")])
+
+
+def ion_type_counts_q(spark, d):
+    return ion_type_counts(lineitem_ions(spark, d, "plain7"), ion_types(spark, NAMES["plain7"]))
+
+
+def nonempty_voxels_q(spark, d):
+    counts = event_counts(spark, d)
+    padded = dense_rows(counts.union(counts.select(-F.col("voxel_id") - 1, "feature_idx", F.lit(0.0))), len(EVENT_TYPES))
+    return nonempty_voxels(padded).select("voxel_id", F.aggregate("x", F.lit(0.0), lambda a, b: a + b).cast("long").alias("total"))
+
+
+def _event_grid(spark, d):
+    """A dense grid by event type: counts of each user up to 63, zeros where there are none."""
+    own = event_counts(spark, d).where("voxel_id between 0 and 63")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)).cast("float"))
+    return own.groupBy("feature_idx").agg(F.map_from_entries(F.collect_list(F.struct("voxel_id", "n"))).alias("m")).select("feature_idx", cells.alias("counts"))
+
+
+def explode_grid_q(spark, d):
+    return explode_grid(_event_grid(spark, d))
+
+
+def mean_spectrum_q(spark, d):
+    return mean_spectrum(_matrix(spark, d, "phase3"), 3).select("feature_idx", F.round("mean", 6).alias("mean"), "n")
+
+
+def second_moments_q(spark, d):
+    return second_moments(_matrix(spark, d, "phase3"), 3).select("i", "j", F.round("value", 4).alias("value"))
+
+
+def noise_eigenvalues(spark, d):
+    m = _matrix(spark, d, "phase3")
+    return fit(m, 3, 0).eigenvalue_table(spark).select("idx", F.round("eigenvalue", 5).alias("eigenvalue"))
+
+
+def scree(spark, d):
+    """Eigenvalues with their share of the sum."""
+    m, model = _fitted(spark, d, p=0)
+    total = float(model.eigenvalues.sum())
+    return model.eigenvalue_table(spark).select("idx", F.round("eigenvalue", 5).alias("eigenvalue"), F.round(F.col("eigenvalue") / total, 6).alias("share"))
+
+
+def _small(spark, factors: algebra.Factors, names: tuple[str, str], digits: tuple[int, int]):
+    """A one-component model as rows, with the largest entry positive."""
+    sign = float(np.sign(factors.to_scores[np.abs(factors.to_scores[:, 0]).argmax(), 0]))
+    rows = [(i, float(factors.to_scores[i, 0]) * sign, float(factors.loadings[i, 0]) * sign) for i in range(len(factors.loadings))]
+    df = spark.createDataFrame(rows, f"feature_idx int, {names[0]} double, {names[1]} double")
+    return df.select("feature_idx", F.round(names[0], digits[0]).alias(names[0]), F.round(names[1], digits[1]).alias(names[1]))
+
+
+def raw_factors(spark, d):
+    mean, c, n = moments_of(_matrix(spark, d, "phase2"), 2)
+    values, vectors = algebra.noise_eigen(mean, c)
+    return _small(spark, algebra.raw_factors(mean, values, vectors, n, 1), ("vector", "loading"), (8, 6))
+
+
+def orthonormal_factors(spark, d):
+    mean, c, n = moments_of(_matrix(spark, d, "phase2"), 2)
+    values, vectors = algebra.noise_eigen(mean, c)
+    return _small(spark, algebra.orthonormal_factors(algebra.raw_factors(mean, values, vectors, n, 1), values, n), ("to_score", "loading"), (10, 4))
+
+
+def fit_scores_1(spark, d):
+    return _scores(spark, d).select("voxel_id", F.round(F.get("scores", F.lit(0)), 6).alias("score"))
+
+
+def fit_loadings_1(spark, d):
+    _, model = _fitted(spark, d)
+    return model.loading_rows(spark).select("component", "feature_idx", F.round("loading", 7).alias("loading"))
+
+
+def varimax_scores_2(spark, d):
+    m, model = _fitted(spark, d, p=2, tol=1e-15)
+    s = F.col("scores")
+    return model.transform(m).select("voxel_id", F.round(F.least(s[0], s[1]), 3).alias("lo"), F.round(F.greatest(s[0], s[1]), 3).alias("hi"))
+
+
+def _chosen(df):
+    return df.select("l_orderkey", "l_linenumber")
+
+
+def select_ions_q(spark, d):
+    return _chosen(select_ions(lineitem_ions(spark, d, "phase2"), _scores(spark, d), GRID, 0, ISOVALUE))
+
+
+def select_ions_inverted(spark, d):
+    return _chosen(select_ions(lineitem_ions(spark, d, "phase2"), _scores(spark, d), GRID, 0, ISOVALUE, invert=True))
+
+
+def score_bounds_q(spark, d):
+    return report.score_bounds(_scores(spark, d), 0).select("component", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
+
+
+def component_scores_q(spark, d):
+    own = report.component_scores(_scores(spark, d), 0)
+    return own.select("voxel_id", F.round("score", 6).alias("score"), (F.col("score") >= ISOVALUE).alias("hit"))
+
+
+def loadings_table_q(spark, d):
+    _, model = _fitted(spark, d)
+    own = report.loadings_table(model, ion_types(spark, NAMES["phase2"]))
+    return own.select("component", "feature_idx", "ion", F.round("loading", 7).alias("loading"), "label")
+
+
+def score_histogram_q(spark, d):
+    return report.score_histogram(spark.read.parquet(f"{d}/events.parquet"), "value", 0.5)
+
+
+def fit_events_1(spark, d):
+    """Eigenvalues of users by event type: five features, none of them from the grid."""
+    m = dense_rows(event_counts(spark, d), len(EVENT_TYPES))
+    model = fit(m, len(EVENT_TYPES), 1)
+    return model.transform(m).select("voxel_id", F.round(F.get("scores", F.lit(0)), 5).alias("score"))
+
+
+def fit_phase3_3(spark, d):
+    """Scores of three rotated components, as one row a voxel and component."""
+    m, model = _fitted(spark, d, "phase3", 3)
+    return model.transform(m).select("voxel_id", F.posexplode("scores").alias("component", "score"))
+
+
+def assign_ion_id_q(spark, d):
+    own = assign_ion_id(spark.read.parquet(f"{d}/events.parquet").select("event_id"), ["event_id"])
+    return own.select("event_id", "ion_id")
+
+
+def stream_select_ions(spark, d):
+    """The selection of select_ions, from a stream of the same rows; the result is read back from its sink."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = f"{base.rstrip('/')}/stream-{np.random.default_rng().integers(1 << 62):x}"
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
+    scores = spark.createDataFrame(_scores(spark, d).collect(), "voxel_id long, scores array<double>")  # GRID has 300 cells
+    picked = _chosen(select_stream(as_ions(lines, "phase2"), scores, GRID, 0, ISOVALUE))
+    to_parquet(picked, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(picked.schema).parquet(f"{folder}/out")
+
+
+QUERIES = {
+    "voxel_ids": voxel_ids,
+    "voxel_counts": voxel_counts_q,
+    "voxel_matrix": voxel_matrix,
+    "ion_type_counts": ion_type_counts_q,
+    "nonempty_voxels": nonempty_voxels_q,
+    "explode_grid": explode_grid_q,
+    "mean_spectrum": mean_spectrum_q,
+    "second_moments": second_moments_q,
+    "noise_eigenvalues": noise_eigenvalues,
+    "scree": scree,
+    "raw_factors": raw_factors,
+    "orthonormal_factors": orthonormal_factors,
+    "fit_scores_1": fit_scores_1,
+    "fit_loadings_1": fit_loadings_1,
+    "fit_events_1": fit_events_1,
+    "fit_phase3_3": fit_phase3_3,
+    "varimax_scores_2": varimax_scores_2,
+    "select_ions": select_ions_q,
+    "select_ions_inverted": select_ions_inverted,
+    "score_bounds": score_bounds_q,
+    "component_scores": component_scores_q,
+    "loadings_table": loadings_table_q,
+    "score_histogram": score_histogram_q,
+    "assign_ion_id": assign_ion_id_q,
+    "stream_select_ions": stream_select_ions,
+}
+
+_CELL = "CAST(trunc((l_quantity - 0.5) / 5) AS BIGINT) + 10 * CAST(trunc((l_discount + 0.005) / 0.02) AS BIGINT) + 60 * CAST(trunc((l_tax + 0.005) / 0.02) AS BIGINT)"
+
+
+def _rows(case: str) -> str:
+    return f"ions AS (SELECT l_orderkey, l_linenumber, {_CELL} AS voxel_id, {case} AS ion FROM lineitem)"
+
+
+_M3 = f"{_rows(PHASE3)}, m AS (SELECT voxel_id, count(*) FILTER (ion = 'A') AS a, count(*) FILTER (ion = 'B') AS b, count(*) FILTER (ion = 'C') AS c FROM ions GROUP BY voxel_id)"
+#: Two features, one component in closed form: (ab, l - aa) is the eigenvector of the 2 x 2 matrix.
+_M2 = (
+    f"{_rows(PHASE2)}, m AS (SELECT voxel_id, (count(*) FILTER (ion = 'A'))::DOUBLE AS a, (count(*) FILTER (ion = 'B'))::DOUBLE AS b FROM ions GROUP BY voxel_id), "
+    "u AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(a * a) / avg(a) AS aa, avg(b * b) / avg(b) AS bb, avg(a * b) / sqrt(avg(a) * avg(b)) AS ab, count(*) AS n FROM m), "
+    "e AS (SELECT *, (aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab * ab) AS l, (aa + bb) / 2 - sqrt(((aa - bb) / 2) ** 2 + ab * ab) AS l2 FROM u), "
+    "t AS (SELECT voxel_id, a, b, a * ab / sqrt(ma) + b * (l - aa) / sqrt(mb) AS t FROM m, e), "
+    "s AS (SELECT voxel_id, a, b, 1000 * t / sqrt((SELECT sum(t * t) FROM t)) AS score FROM t)"
+)
+_FACTORS = f"WITH {_M2}, z AS (SELECT *, ab / sqrt(ab * ab + (l - aa) ** 2) AS za, (l - aa) / sqrt(ab * ab + (l - aa) ** 2) AS zb FROM e)"
+_LOADS = "(SELECT 0 AS feature_idx, 'A' AS ion, sum(a * score) / 1e6 AS loading FROM s UNION ALL SELECT 1, 'B', sum(b * score) / 1e6 FROM s)"
+_TYPES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(EVENT_TYPES)) + ") AS k(feature_idx, event_type)"
+_HITS = f"WITH {_M2} SELECT l_orderkey, l_linenumber FROM ions WHERE"
+
+ORACLE = {
+    "voxel_ids": f"SELECT l_orderkey, l_linenumber, {_CELL} AS voxel_id FROM lineitem",
+    "voxel_counts": f"WITH {_rows(PHASE3)} SELECT voxel_id, CASE ion WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END AS feature_idx, count(*)::DOUBLE AS n FROM ions GROUP BY ALL",
+    "voxel_matrix": f"WITH {_M3} SELECT voxel_id, a, b, c FROM m",
+    "ion_type_counts": "SELECT (l_linenumber - 1)::INT AS feature_idx, 't' || l_linenumber AS ion, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY l_linenumber",
+    "nonempty_voxels": f"SELECT user_id::BIGINT AS voxel_id, count(*) AS total FROM events WHERE event_type IN (SELECT event_type FROM {_TYPES}) GROUP BY user_id",
+    "explode_grid": f"SELECT user_id::BIGINT AS voxel_id, feature_idx::INT AS feature_idx, count(*)::DOUBLE AS n FROM events JOIN {_TYPES} USING (event_type) WHERE user_id BETWEEN 0 AND 63 GROUP BY ALL",
+    "mean_spectrum": f"WITH {_M3} SELECT feature_idx::INT AS feature_idx, round(avg(x), 6) AS mean, count(*) AS n FROM (SELECT 0 AS feature_idx, a AS x FROM m UNION ALL SELECT 1, b FROM m UNION ALL SELECT 2, c FROM m) GROUP BY feature_idx",
+    "second_moments": f"WITH {_M3}, x AS (SELECT voxel_id, 0 AS i, a AS v FROM m UNION ALL SELECT voxel_id, 1, b FROM m UNION ALL SELECT voxel_id, 2, c FROM m) SELECT p.i::INT AS i, q.i::INT AS j, round(avg((p.v * q.v)::DOUBLE), 4) AS value FROM x p JOIN x q USING (voxel_id) GROUP BY ALL",
+    "noise_eigenvalues": f"""WITH {_M3},
+u AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(a * a) / avg(a) AS aa, avg(b * b) / avg(b) AS bb, avg(c * c) / avg(c) AS cc,
+      avg(a * b) / sqrt(avg(a) * avg(b)) AS ab, avg(a * c) / sqrt(avg(a) * avg(c)) AS ac, avg(b * c) / sqrt(avg(b) * avg(c)) AS bc FROM m),
+q AS (SELECT *, (aa + bb + cc) / 3 AS q FROM u),
+p AS (SELECT *, sqrt(((aa - q) ** 2 + (bb - q) ** 2 + (cc - q) ** 2 + 2 * (ab * ab + ac * ac + bc * bc)) / 6) AS p FROM q),
+r AS (SELECT *, ((aa - q) * ((bb - q) * (cc - q) - bc * bc) - ab * (ab * (cc - q) - bc * ac) + ac * (ab * bc - (bb - q) * ac)) / (2 * p * p * p) AS r FROM p),
+f AS (SELECT q, p, acos(least(1, greatest(-1, r))) / 3 AS f FROM r)
+SELECT idx::INT AS idx, round(q + 2 * p * cos(f + CASE idx WHEN 0 THEN 0 WHEN 1 THEN 4 * pi() / 3 ELSE 2 * pi() / 3 END), 5) AS eigenvalue FROM f, range(3) AS k(idx)""",
+    "scree": f"WITH {_M2} SELECT 0::INT AS idx, round(l, 5) AS eigenvalue, round(l / (l + l2), 6) AS share FROM e UNION ALL SELECT 1, round(l2, 5), round(l2 / (l + l2), 6) FROM e",
+    "raw_factors": f"{_FACTORS} SELECT 0::INT AS feature_idx, round(za / sqrt(ma), 8) AS vector, round(za * sqrt(ma), 6) AS loading FROM z UNION ALL SELECT 1, round(zb / sqrt(mb), 8), round(zb * sqrt(mb), 6) FROM z",
+    "orthonormal_factors": f"{_FACTORS} SELECT 0::INT AS feature_idx, round(za / sqrt(ma * n * l), 10) AS to_score, round(za * sqrt(ma * n * l), 4) AS loading FROM z UNION ALL SELECT 1, round(zb / sqrt(mb * n * l), 10), round(zb * sqrt(mb * n * l), 4) FROM z",
+    "fit_scores_1": f"WITH {_M2} SELECT voxel_id, round(score, 6) AS score FROM s",
+    "fit_loadings_1": f"WITH {_M2} SELECT 0::INT AS component, feature_idx::INT AS feature_idx, round(loading, 7) AS loading FROM {_LOADS}",
+    "varimax_scores_2": f"""WITH {_M2},
+x AS (SELECT voxel_id, a, b, score / 1000 AS x FROM s),
+y0 AS (SELECT *, a - x * (SELECT sum(a * x) FROM x) AS y FROM x),
+y AS (SELECT voxel_id, a, b, x, y / sqrt((SELECT sum(y * y) FROM y0)) AS y FROM y0),
+f AS (SELECT atan2(2 * sum((x * x - y * y) * 2 * x * y), sum((x * x - y * y) ** 2 - (2 * x * y) ** 2)) / 4 AS f FROM y),
+g AS (SELECT voxel_id, a, b, x * cos(f) + y * sin(f) AS p, y * cos(f) - x * sin(f) AS q FROM y, f),
+o AS (SELECT sum(a * p) AS ap, sum(b * p) AS bp, sum(a * q) AS aq, sum(b * q) AS bq FROM g),
+d AS (SELECT CASE WHEN 2 * (CASE WHEN ap > 0 THEN ap * ap ELSE 0 END + CASE WHEN bp > 0 THEN bp * bp ELSE 0 END) < ap * ap + bp * bp THEN -1000 ELSE 1000 END AS sp,
+             CASE WHEN 2 * (CASE WHEN aq > 0 THEN aq * aq ELSE 0 END + CASE WHEN bq > 0 THEN bq * bq ELSE 0 END) < aq * aq + bq * bq THEN -1000 ELSE 1000 END AS sq FROM o)
+SELECT voxel_id, round(least(sp * p, sq * q), 3) AS lo, round(greatest(sp * p, sq * q), 3) AS hi FROM g, d""",
+    "select_ions": f"{_HITS} voxel_id IN (SELECT voxel_id FROM s WHERE score >= 60)",
+    "select_ions_inverted": f"{_HITS} voxel_id NOT IN (SELECT voxel_id FROM s WHERE score >= 60)",
+    "score_bounds": f"WITH {_M2} SELECT 0::INT AS component, round(min(score), 6) AS min, round(max(score), 6) AS max FROM s",
+    "component_scores": f"WITH {_M2} SELECT voxel_id, round(score, 6) AS score, score >= 60 AS hit FROM s",
+    "loadings_table": f"WITH {_M2} SELECT 0::INT AS component, feature_idx::INT AS feature_idx, ion, round(loading, 7) AS loading, format('{{:.3f}}', loading) AS label FROM {_LOADS}",
+    "score_histogram": """WITH r AS (SELECT min(value) AS lo, greatest(1, ceil((max(value) - min(value)) / 0.5::DOUBLE))::INT AS bins FROM events),
+c AS (SELECT least(trunc((value - lo) / 0.5::DOUBLE)::INT, bins - 1) AS bin, count(*) AS n FROM events, r WHERE value IS NOT NULL GROUP BY 1)
+SELECT k.bin::INT AS bin, lo + k.bin * 0.5::DOUBLE AS left_edge, coalesce(n, 0) AS n FROM r, generate_series(0, bins - 1) AS k(bin) LEFT JOIN c ON c.bin = k.bin""",
+    "assign_ion_id": "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS ion_id FROM events",
+}
+ORACLE["stream_select_ions"] = ORACLE["select_ions"]
