@@ -38,14 +38,19 @@ def score_histogram(df: DataFrame, col: str, bin_size: float = 0.01) -> DataFram
     not counted; without values there are no bins.
     """
     kind = "float" if df.schema[col].dataType.simpleString() == "float" else "double"
+
+    def ratio(span):
+        """span over the bin size; Spark divides floats as doubles, and rounding that once more is the quotient of floats."""
+        return (span / F.lit(bin_size).cast(kind)).cast(kind)
+
     own = df.select(F.col(col).cast(kind).alias("v")).where("v is not null and not isnan(v)")
-    low = own.agg(F.min("v").alias("low"), F.max("v").alias("high")).select("low", F.ceil((F.col("high") - F.col("low")) / F.lit(bin_size).cast(kind)).alias("bins")).first()
+    low = own.agg(F.min("v").alias("low"), F.max("v").alias("high")).select("low", F.ceil(ratio(F.col("high") - F.col("low"))).alias("bins")).first()
     spark = df.sparkSession
     if low["low"] is None:
         return spark.createDataFrame([], "bin int, left_edge double, n long")
     last = max(1, math.ceil(low["bins"])) - 1
     start = F.lit(low["low"]).cast(kind)
-    at = F.least(((F.col("v") - start) / F.lit(bin_size).cast(kind)).cast("int"), F.lit(last))
+    at = F.least(ratio(F.col("v") - start).cast("int"), F.lit(last))
     counts = own.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
     bins = spark.range(last + 1).select(F.col("id").cast("int").alias("bin"))
     edge = F.lit(low["low"]).cast("double") + F.col("bin") * F.lit(float(bin_size))

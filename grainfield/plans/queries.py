@@ -167,6 +167,13 @@ def fit_phase3_3(spark, d):
     return model.transform(m).select("voxel_id", F.posexplode("scores").alias("component", "score"))
 
 
+def fit_plain7_3(spark, d):
+    """Eigenvalues of a seven-feature fit with three rotated components, and the bounds of each component's scores."""
+    m, model = _fitted(spark, d, "plain7", 3)
+    bounds = model.transform(m).select(F.posexplode("scores").alias("component", "score"))
+    return bounds.groupBy("component").agg(F.count("*").alias("n"), F.min("score").alias("min"), F.max("score").alias("max"))
+
+
 def assign_ion_id_q(spark, d):
     own = assign_ion_id(spark.read.parquet(f"{d}/events.parquet").select("event_id"), ["event_id"])
     return own.select("event_id", "ion_id")
@@ -201,6 +208,7 @@ QUERIES = {
     "fit_loadings_1": fit_loadings_1,
     "fit_events_1": fit_events_1,
     "fit_phase3_3": fit_phase3_3,
+    "fit_plain7_3": fit_plain7_3,
     "varimax_scores_2": varimax_scores_2,
     "select_ions": select_ions_q,
     "select_ions_inverted": select_ions_inverted,
