@@ -6,9 +6,10 @@ shingles, so that no coordinate stays empty, and coordinates agree with probabil
 concentrated as if they were independent. Most documents are full after a few rounds, so a sketch takes far
 less than t passes over the set.
 
-Documents with equal sets are one class and stand for each other. Bands of coordinates give buckets of classes. In a bucket
-every class is compared with one hub; what is then in one component needs no further comparison, and only
-classes of different components in one bucket are compared further. Links are confirmed on the full sets.
+Documents with equal sets are one class and stand for each other. Bands of coordinates give buckets of sets; sets that
+share a bucket, directly or over others, are a candidate group. All pairs of a group are confirmed on the full sets, in
+pairs of tiles of bounded size whose set sizes allow a link; a tile pair computes exact intersections as one product
+and gives a spanning forest of its links. So no pairs are rows, and a large group is the work of many tasks.
 
 Nulls and odd cases: null texts and texts without words have an empty set, are linked with nothing and are
 kept. A text of fewer words than a shingle is one shingle. A null id is linked with nothing, has a null component
@@ -27,18 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, small_batches, steps, written
-from .components import connected_components
+from .common import Words, hash_parts, mix64, pack, small_batches, steps, unpack, written
+from .components import connected_components, join_roots
 
 
 @dataclass(frozen=True)
 class Settings:
-    """words: of a shingle; percent: least similarity; bands, rows: of the sketch (a pair at 80 % is missed with probability 1e-7)."""
+    """words: of a shingle; percent: least similarity; bands, rows: of the sketch (a pair at 80 % is missed with probability 5e-7)."""
 
     words: int = 5
     percent: int = 80
-    bands: int = 40
-    rows: int = 5
+    bands: int = 48
+    rows: int = 6
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,12 +77,12 @@ def sketches(flat: np.ndarray, off: np.ndarray, t: int) -> np.ndarray:
         h = mix64(flat + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64))
         at = (h >> np.uint64(33)) % np.uint64(t) if i < t else np.uint64(i - t)
         np.minimum.at(out, row * t + at.astype(np.int64), (np.uint64(i) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
-        full = (out.reshape(n, t) != _EMPTY).all(1)
-        left = ~full[row]
-        if not left.all():
-            flat, row = flat[left], row[left]
-        if not len(flat):
-            break
+        if i % 4 == 3 or i >= t:
+            left = (out.reshape(n, t) == _EMPTY).any(1)[row]
+            if not left.all():
+                flat, row = flat[left], row[left]
+            if not len(flat):
+                break
     return out.reshape(n, t)
 
 
@@ -96,107 +97,151 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def sketch_table(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2, bands): size and 128-bit fingerprint of each set, and its band hashes."""
-    small_batches(docs.sparkSession, 500)
+def sizes_table(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, n_shingles, fp1, fp2): size and 128-bit fingerprint of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in steps(batch.column(1)):
                 flat, off = shingle_sets(part, s.words)
-                keys = band_keys(sketches(flat, off, s.bands * s.rows), s.bands, s.rows).view(np.int64)
-                sums = np.zeros((2, len(flat) + 1), np.uint64)
-                np.cumsum(mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), out=sums[0, 1:])
-                np.cumsum(mix64(flat ^ np.uint64(0x14057B7EF767814F)), out=sums[1, 1:])
-                fp = (sums[:, off[1:]] - sums[:, off[:-1]]).view(np.int64)
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), s.bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(np.diff(off)), pa.array(fp[0]), pa.array(fp[1]), bands], names=["doc_id", "n_shingles", "fp1", "fp2", "bands"])
+                fp = _fingerprints(flat, off).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(np.diff(off)), pa.array(fp[0]), pa.array(fp[1])], names=["doc_id", "n_shingles", "fp1", "fp2"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
-    """(rep, hashes) of the documents in ids."""
+def _fingerprints(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+    sums = np.zeros((2, len(flat) + 1), np.uint64)
+    np.cumsum(mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), out=sums[0, 1:])
+    np.cumsum(mix64(flat ^ np.uint64(0x14057B7EF767814F)), out=sums[1, 1:])
+    return sums[:, off[1:]] - sums[:, off[:-1]]
+
+
+def _band_blobs(docs: DataFrame, s: Settings, n: int) -> DataFrame:
+    """(p, keys, sets): band hashes of partition p with the first fingerprint halves of their sets, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in steps(batch.column(1)):
+            for _, part in steps(batch.column(0)):
                 flat, off = shingle_sets(part, s.words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.view(np.int64)))], names=["rep", "hashes"])
-
-    own = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(ids, "rep", "left_semi")
-    return own.mapInArrow(run, "rep long, hashes array<long>")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    a, b = sets.select(F.col("rep").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("rep").alias("v"), F.col("hashes").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    joined = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("i"), (F.size("a") + F.size("b")).alias("n"))
-    return joined.where(100 * F.col("i") >= s.percent * (F.col("n") - F.col("i"))).select("u", "v")
+                fp, first = np.unique(_fingerprints(flat, off)[0], return_index=True)
+                keep = np.diff(off)[first] > 0
+                fp, first = fp[keep], first[keep]
+                if not len(fp):
+                    continue
+                own = np.concatenate([flat[off[i] : off[i + 1]] for i in first])
+                sizes = np.diff(off)[first]
+                keys = band_keys(sketches(own, np.concatenate([[0], np.cumsum(sizes)]), s.bands * s.rows), s.bands, s.rows).ravel()
+                order = np.argsort(keys)
+                keys, sets = keys[order], np.repeat(fp, s.bands)[order]
+                at = np.searchsorted(hash_parts(keys, n), np.arange(n + 1))
+                rows = [(p, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(sets[a:b])) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["p", "keys", "sets"])
+
+    return docs.where("doc_id is not null").select(F.col("text").cast("string")).mapInArrow(run, "p int, keys binary, sets binary")
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Edges from each set to the smallest of its bucket."""
+    keys = np.concatenate([np.cumsum(unpack(x.as_py(), np.uint64)) for x in table.column("keys")])
+    sets = np.concatenate([unpack(x.as_py()) for x in table.column("sets")])
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    hub = sets[np.flatnonzero(first)][np.cumsum(first) - 1]
+    edges = np.unique(np.stack([hub, sets], 1)[hub != sets], axis=0)
+    return pa.table({"u": edges[:, 0], "v": edges[:, 1]})
+
+
+def _verified(percent: int):
+    """A spanning forest of the links between the sets of two tiles (or of one), by exact intersections."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("rep").to_numpy()
+        same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+        side = np.ones(len(ids), bool) if same else table.column("tile").to_numpy() == table.column("lo")[0].as_py()
+        first, second = np.flatnonzero(side), np.arange(len(ids)) if same else np.flatnonzero(~side)
+        hashes = table.column("hashes").combine_chunks()
+        size = np.asarray(hashes.value_lengths(), np.int64)
+        row = np.repeat(np.arange(len(ids)), size)
+        _, column, times = np.unique(np.asarray(hashes.flatten()), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        row, column = row[shared], column[shared]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+        common = np.zeros((len(first), len(second)))
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, (c, c + 4096))
+            has = np.zeros((len(ids), int(column[b - 1]) - c + 1), np.float32)
+            has[row[a:b], column[a:b] - c] = 1
+            common += has[first] @ has[second].T
+        i, j = np.nonzero(100 * common >= percent * (size[first][:, None] + size[second][None] - common))
+        i, j = first[i], second[j]
+        parent = join_roots(np.arange(len(ids)), i[i != j], j[i != j])
+        child = np.flatnonzero(parent != np.arange(len(ids)))
+        return pa.table({"u": ids[child], "v": ids[parent[child]]})
+
+    return run
+
+
+#: Sets of a tile, and the width of a class of sizes in a group of several tiles (natural logarithm).
+TILE, WIDTH = 512, 0.1
+
+
+def _dealt(members: DataFrame, s: Settings) -> DataFrame:
+    """(rep, g, tile, lo, hi): every member of a candidate group for each pair of tiles that it has part in.
+
+    A group of up to TILE sets is one tile. In a larger one tiles hold sets of about one size, and only tiles whose sizes
+    allow the similarity are paired.
+    """
+    groups = members.groupBy("g").agg(F.count("*").alias("m"))
+    counted = members.join(groups, "g").withColumn("cls", F.when(F.col("m") > TILE, F.floor(F.log("n") / WIDTH)).otherwise(0).cast("long"))
+    parts = counted.groupBy("g", "cls").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    own = counted.join(parts, ["g", "cls"]).select("rep", "g", (F.col("cls") * (1 << 24) + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("tile"))
+    tiles = parts.select("g", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("g", "cls", (F.col("cls") * (1 << 24) + F.col("k")).alias("tile"))
+    reach = int(np.log(100 / s.percent) / WIDTH) + 1
+    other = tiles.select("g", F.col("cls").alias("cls2"), F.col("tile").alias("hi"))
+    pairs = tiles.withColumnRenamed("tile", "lo").join(other, "g").where((F.col("lo") <= F.col("hi")) & (F.col("cls2") - F.col("cls") <= reach)).select("g", "lo", "hi")
+    left = own.join(pairs.withColumn("tile", F.col("lo")), ["g", "tile"])
+    right = own.join(pairs.where("lo < hi").withColumn("tile", F.col("hi")), ["g", "tile"])
+    return left.unionByName(right)
+
+
+def _links(docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): a spanning forest of the confirmed links in each pair of tiles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in steps(batch.column(4)):
+                flat, off = shingle_sets(part, s.words)
+                hashes = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(part)) for c in batch.columns[:4]), hashes, batch.column(5).slice(first, len(part))], names=["g", "lo", "hi", "tile", "hashes", "rep"])
 
-def _sizes_allow(a: str, b: str, s: Settings):
-    """Whether sets of these sizes can be similar enough."""
-    return 100 * F.least(a, b) >= s.percent * F.greatest(a, b)
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    own = texts.join(_dealt(members, s), "rep").select("g", "lo", "hi", "tile", "text", "rep")
+    return own.mapInArrow(run, "g long, lo long, hi long, tile long, hashes array<long>, rep long").groupBy("g", "lo", "hi").applyInArrow(_verified(s.percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    s = settings
-    table = written(sketch_table(docs, s), "mh-sketch")
+    s, spark = settings, docs.sparkSession
+    small_batches(spark, 500)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = written(sizes_table(docs, s), "mh-sizes")
     real = table.where("n_shingles > 0 and doc_id is not null")
-    classes = written(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "mh-classes")
-    buckets = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    shared = written(buckets.join(hubs, "bucket").select("bucket", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), "m"), "mh-shared")
-    sets = written(_sets(docs, shared.select("rep").distinct(), s), "mh-sets")
-    tried = shared.where("rep <> hub").where(_sizes_allow("n", "hub_n", s)).select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    links = written(_confirmed(tried, sets, s), "mh-links")
-    found = connected_components(links)
-
-    # further hubs while many pairs of different components are left, then all that are left
-    for turn in range(1, 9):
-        left = _left(shared, found)
-        if turn < 8 and (size := left.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("c").alias("c")).agg(F.sum(F.col("m") * F.col("m") - F.col("c")), F.sum("m")).first())[0]:
-            many = size[0] > 16 * size[1] + 100_000
-        elif turn < 8:
-            break
-        else:
-            many = False
-        own = left.select("bucket", "rep", "n", "component")
-        if many:
-            pick = F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn)))
-            other = own.groupBy("bucket").agg(pick.alias("o")).select("bucket", F.col("o.rep").alias("rep2"), F.col("o.n").alias("n2"), F.col("o.component").alias("component2"))
-            apart = F.col("component") != F.col("component2")
-        else:
-            other = own.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            apart = F.col("component") < F.col("component2")
-        pairs = own.join(other, "bucket").where(apart & _sizes_allow("n", "n2", s))
-        pairs = pairs.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")).distinct()
-        more = written(_confirmed(pairs, sets, s), "mh-links")
-        if more.limit(1).count():
-            links = links.union(more)
-            found = connected_components(links)
-        if not many:
-            break
-
+    classes = written(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "mh-classes")
+    candidates = _band_blobs(docs, s, n).groupBy("p").applyInArrow(_candidates, "u long, v long")
+    groups = connected_components(candidates)
+    members = written(classes.join(groups.select(F.col("node").alias("fp1"), F.col("component").alias("g")), "fp1").select("rep", "n", "g"), "mh-members")
+    found = connected_components(_links(docs, members, s))
     label = classes.select("fp1", "fp2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
-    out = table.select("doc_id", "n_shingles", "fp1", "fp2").join(label, ["fp1", "fp2"], "left")
+    out = table.join(label, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _left(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets of three or more that hold different components; c: members of the own component in the bucket."""
-    own = shared.where("m > 2").select("bucket", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = own.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-    own = own.join(mixed, "bucket", "left_semi")
-    counts = own.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    return own.join(counts, ["bucket", "component"])
-
-
 def dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs that stay: one of each group of near-duplicates, that with the smallest id, and one of rows that share an id."""
     kept = near_duplicates(docs, settings).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_mh_rows"))
