@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches, written
+from .common import scratch_path, written
 
 # fixed values: record syntax
 VERSION, EOL = "WARC/1.1", "\r\n"
@@ -138,7 +138,6 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
         more = [pa.array(payloads, pa.binary())] if with_payload else []
         return pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), *more], names=[*_TEXTS, "payload_bytes", *(["payload"] if with_payload else [])])
 
-    small_batches(spark, 1)  # an archive file is a row
     schema = ", ".join(f"{c} string" for c in _TEXTS) + ", payload_bytes long" + (", payload binary" if with_payload else "")
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
