@@ -104,6 +104,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
     dealt = distinct.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("k1", "k2"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("label", "dim", "rep", "weight", "vector", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+    dealt = dealt.repartition("label", "dim", "lo", "hi")  # else the join's partitions by label would stand, and a label be one task's work
     found = written(dealt.groupBy("label", "dim", "lo", "hi").applyInArrow(_tile_pair(threshold), "u long, v long, links long"), "ed-found")
     links = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("v is not null").select("u", "v"))
