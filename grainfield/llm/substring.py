@@ -10,7 +10,7 @@ every window of ``window`` words has an anchor that its own words decide, and eq
 3. A join brings that back to the occurrences. Between branching nodes the graph is a plain path that all its documents
    walk alike, so neighbouring windows none of whose anchors branches are repeated in the same documents: they
    compact to one run, one row however long it is. Windows at branching nodes remain rows of their own.
-4. Runs and windows carry their coordinates and a 128-bit hash of all their words. A last aggregate and join on it
+4. Runs and windows carry their coordinates and a 96-bit hash of all their words. A last aggregate and join on it
    verifies them: a run goes only if the same words, read at its source, begin in a smaller document.
 
 Nulls and odd cases: null and empty texts have no words and nothing is removed. A null id loses nothing and is no
@@ -142,10 +142,10 @@ def _first_look(joined: DataFrame, window: int, with_text: bool) -> DataFrame:
     """Rows of three kinds: 0 a finished document, 1 a run of n windows that may be repeated, 2 a document that
     waits for the verdict on runs that may go."""
     names = ["kind", *_RESULT, "h1", "h2", "pos", "n", "early", "text"]
-    schema = f"kind int, {_RESULT_TYPES}, h1 long, h2 long, pos int, n int, early boolean, text string"
+    schema = f"kind int, {_RESULT_TYPES}, h1 long, h2 int, pos int, n int, early boolean, text string"
 
     def frame(rows: int, **have) -> pa.RecordBatch:
-        kinds = {"kind": pa.int32(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "h1": pa.int64(), "h2": pa.int64(), "pos": pa.int32(), "n": pa.int32(), "early": pa.bool_(), "text": pa.string(), "doc_id": pa.int64(), "_ss_key": pa.int64()}
+        kinds = {"kind": pa.int32(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "h1": pa.int64(), "h2": pa.int32(), "pos": pa.int32(), "n": pa.int32(), "early": pa.bool_(), "text": pa.string(), "doc_id": pa.int64(), "_ss_key": pa.int64()}
         return pa.RecordBatch.from_arrays([have[c] if isinstance(have.get(c), pa.Array) else pa.array(have.get(c, [None] * rows), kinds[c]) for c in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +186,7 @@ def _first_look(joined: DataFrame, window: int, with_text: bool) -> DataFrame:
                     yield frame(len(i), kind=[2] * len(i), doc_id=ids.take(at), _ss_key=keys.take(at), text=part.take(pa.array(i)).cast(pa.string()))
                 if len(look):
                     h1, h2 = (w.runs(s)(look, look + window + n - 1).view(np.int64) for s in (2, 3))
+                    h2 = (h2 >> 32).astype(np.int32)
                     row = w.row[look]
                     at = pa.array(row + offset)
                     pos = (look - w.first[row]).astype(np.int32)
