@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes at a time (a longer text is a step of its own).
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
