@@ -216,7 +216,8 @@ def repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataF
     """(doc_id, _ss_key, n_words, n_removed, kept_sha256, kept) of every row; kept: the text left, if asked for."""
     spark = docs.sparkSession
     anchors = written(anchor_table(docs, window), "ss-anchors")
-    nodes = repeated_nodes(anchors.select("node", "doc_id", "context"))
+    # written before it is joined: Spark splits the partition of a hot node only where both sides come straight from a shuffle
+    nodes = written(repeated_nodes(anchors.select("node", "doc_id", "context")), "ss-nodes")
     early = (F.col("source") < F.col("doc_id")).cast("int")
     mark = F.col("pos") * 4 + early * 2 + F.col("branches").cast("int")
     marks = anchors.select("node", "doc_id", "_ss_key", "pos").join(nodes, "node").groupBy("doc_id", "_ss_key").agg(F.collect_list(mark.cast("int")).alias("marks"))
@@ -226,6 +227,7 @@ def repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataF
     looked = spark.read.schema(looked.schema).parquet(path)
     windows = looked.where("kind = 1")
     seen = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_ss_last")).where("source < _ss_last").select("h1", "h2", "source")
+    seen = written(seen, "ss-seen")
     more = windows.where("early").select("h1", "h2", "doc_id", "_ss_key", "pos", "n").join(seen, ["h1", "h2"]).where("source < doc_id")
     more = more.groupBy("doc_id", "_ss_key").agg(F.collect_set(F.struct("pos", "n")).alias("more"))
     waiting = looked.where("kind = 2").select("doc_id", "_ss_key", "text").join(more, ["doc_id", "_ss_key"], "left")
