@@ -5,7 +5,8 @@ that hash. The AND of an n-gram's slots is the set of all languages that contain
 once. A text's n-grams are counted per language that way; the counts are corrected for the rate at which a
 language's filter says yes to what it never saw, and the largest corrected count decides.
 
-Training reads a bounded, stated sample (``Settings.sample`` rows of each language, chosen by hash); an n-gram is
+Training reads a stated sample (about ``Settings.sample`` rows of each language, those whose hash of id and text is
+below the share of the language's rows that this is); an n-gram is
 put in a language's filter if it is at least ``Settings.share`` of that language's n-grams. Prediction reads every
 whole text and nothing but the text.
 
@@ -22,7 +23,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import _LOWER, crc_mod, mix64, small_batches, steps, utf8
@@ -32,7 +32,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: rows learned from, of each language at most; languages: most languages; bits: log2 of the slots; hashes: slots
+    """sample: rows learned from, of each language, on average; languages: most languages; bits: log2 of the slots; hashes: slots
     of an n-gram; sizes: n-gram lengths in bytes; share: least share of a language's n-grams."""
 
     sample: int = 2000
@@ -91,10 +91,12 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     spark = docs.sparkSession
     small_batches(spark, 500)
     labelled = docs.where("lang is not null and text is not null")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("lang", "doc_id").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= settings.sample)
-    chosen = chosen.select(F.col("lang"), F.col("doc_id")).distinct()
-    sample = labelled.select("lang", "doc_id", "text").join(chosen, ["lang", "doc_id"]).select("lang", "text")
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(settings.languages + 1).collect()
+    if len(found) > settings.languages:
+        raise ValueError(f"more than {settings.languages} languages")
+    shares = [x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, settings.sample / r["n"])))]
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))  # from 0 to 1
+    sample = labelled.where(place < F.create_map(*shares)[F.col("lang")] if found else F.lit(False)).select("lang", "text")
     sizes = settings.sizes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +114,6 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     often = grams.withColumn("size", F.shiftrightunsigned("key", 60)).join(sums, ["lang", "size"]).where(F.col("n") >= F.greatest(F.lit(2), settings.share * F.col("total")))
     rows = often.select("lang", "key").toPandas()
     languages = tuple(sorted(rows["lang"].unique()))
-    if len(languages) > settings.languages:
-        raise ValueError(f"{len(languages)} languages; at most {settings.languages}")
     slots = np.zeros((max(1, -(-len(languages) // 64)), 1 << settings.bits), np.uint64)
     rate = np.zeros(len(languages))
     for i, lang in enumerate(languages):
