@@ -21,6 +21,8 @@ from .common import word_count, written
 
 #: Hash bits of one level, and levels.
 BITS, LEVELS = 12, 3
+#: Most sources whose rows are broadcast to the documents; with more of them the joins are by shuffle.
+SMALL = 100_000
 
 
 def doc_hash(doc_id: Column, text: Column) -> Column:
@@ -78,7 +80,12 @@ def targets(sources: DataFrame, budget_share: float, max_epochs: int) -> DataFra
     )
 
 
-def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+def by_source(rows: DataFrame, sources: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """Joins a row a source to documents. Broadcast where the sources have been counted, so a hot source is in many tasks."""
+    return rows.join(F.broadcast(sources) if small else sources, "_mix_key", how)
+
+
+def thresholds(sizes: DataFrame, goals: DataFrame, small: bool = False) -> DataFrame:
     """goals plus _mix_base (times that the whole source is taken) and _mix_cut (exclusive bound of the hash prefix for one more time).
 
     sizes: (_mix_key, _mix_size, _mix_hash). goals: (_mix_key, _mix_source_size, _mix_target). A level reads
@@ -89,7 +96,8 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     at = goals.select("_mix_key", "_mix_need", F.lit(0).cast("long").alias("_mix_prefix"))
     for level in range(1, LEVELS + 1):
         prefix = F.shiftright("_mix_hash", 60 - BITS * level)
-        inside = sizes.where("_mix_size > 0").withColumn("_mix_cell", prefix).join(at, "_mix_key")
+        inside = sizes.where("_mix_size > 0").withColumn("_mix_cell", prefix)
+        inside = by_source(inside, at, small)
         if level > 1:
             inside = inside.where(F.shiftright("_mix_cell", BITS) == F.col("_mix_prefix"))
         cells = inside.groupBy("_mix_key", "_mix_cell").agg(F.sum("_mix_size").alias("_mix_tokens"), F.first("_mix_need").alias("_mix_need"))
@@ -104,11 +112,13 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return goals.drop("_mix_need").join(at.select("_mix_key", cut.alias("_mix_cut")), "_mix_key", "left")
 
 
-def plan(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
-    """One row a source: key, size, target, base and cut. sizes: the rows of ``sized``, as a written table."""
+def plan(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_share: float = 1.5, max_epochs: int = 2) -> tuple[DataFrame, bool]:
+    """One row a source: key, size, target, base and cut; and whether they are SMALL. sizes: the rows of ``sized``, as a written table."""
     sources = sizes.groupBy("_mix_key").agg(F.first("_mix_source").alias("_mix_source"), F.sum("_mix_size").alias("_mix_source_size"))
     goals = targets(cyclic_weights(sources, weights), budget_share, max_epochs)
-    return thresholds(sizes, goals.select("_mix_key", "_mix_source_size", "_mix_target"))
+    goals = written(goals.select("_mix_key", "_mix_source_size", "_mix_target"), "mix-goals")
+    small = goals.count() <= SMALL
+    return written(thresholds(sizes, goals, small), "mix-plan"), small
 
 
 def copies() -> Column:
@@ -119,24 +129,22 @@ def copies() -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """The mixed documents: each row of docs as often as it is taken (0 to max_epochs times), with its own columns."""
-    from_plan = plan(written(sized(docs), "mix-sizes"), weights, budget_share, max_epochs)
+    own, small = plan(written(sized(docs), "mix-sizes"), weights, budget_share, max_epochs)
     keyed = docs.select("*", source_key(F.col("source")).alias("_mix_key"), doc_hash(F.col("doc_id"), F.col("text")).alias("_mix_hash"))
-    taken = keyed.join(from_plan.select("_mix_key", "_mix_base", "_mix_cut"), "_mix_key").withColumn("_mix_copies", copies()).where("_mix_copies > 0")
+    taken = by_source(keyed, own.select("_mix_key", "_mix_base", "_mix_cut"), small).withColumn("_mix_copies", copies()).where("_mix_copies > 0")
     return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """Size, source size, target and words taken of every document."""
     sizes = written(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")), "mix-sizes")
-    return (
-        sizes.join(plan(sizes), "_mix_key")
-        .select(
-            "doc_id",
-            F.col("_mix_size").alias("size"),
-            F.col("_mix_source_size").alias("source_size"),
-            F.col("_mix_target").alias("target"),
-            (F.col("_mix_size") * copies()).alias("taken"),
-        )
+    own, small = plan(sizes)
+    return by_source(sizes, own, small).select(
+        "doc_id",
+        F.col("_mix_size").alias("size"),
+        F.col("_mix_source_size").alias("source_size"),
+        F.col("_mix_target").alias("target"),
+        (F.col("_mix_size") * copies()).alias("taken"),
     )
 
 

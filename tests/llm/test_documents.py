@@ -104,7 +104,7 @@ def test_mixing(spark, docs, rows):
     sizes = collections.Counter()
     for r in rows:
         sizes[r[3]] += len(words_of(r[1]))
-    plan = {r["_mix_key"]: r for r in mixing.plan(mixing.sized(docs)).collect()}
+    plan = {r["_mix_key"]: r for r in mixing.plan(mixing.sized(docs))[0].collect()}
     got = mixing.mix(docs).groupBy("doc_id").count().collect()
     taken = collections.Counter()
     for r in got:
