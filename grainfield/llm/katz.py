@@ -211,12 +211,16 @@ def _counted(unigrams: Unigrams, hot: float):
         if not mine.num_rows:
             return _table(rows, _MOVED)
         blocks = mine.column("block").to_pylist()
-        parts = [[unpack(c.as_py()) for c in row] for row in mine.column("cols")]
-        h, w, d, m, c_w, c_h = (np.concatenate(x) for x in zip(*parts, strict=True))
-        b = np.repeat(np.arange(len(blocks)), [len(x[0]) for x in parts])
-        del parts, mine, table
-        order = np.lexsort((w, h))
-        h, w, d, m, c_w, c_h, b = (x[order] for x in (h, w, d, m, c_w, c_h, b))
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64)
+        # one column after another: no second copy of all triples
+        cols = [np.concatenate([unpack(row[i].as_py()).astype(k) for row in mine.column("cols")]) for i, k in enumerate(kinds)]
+        cols.append(np.repeat(np.arange(len(blocks), dtype=np.int32), [len(unpack(row[2].as_py())) for row in mine.column("cols")]))
+        del mine, table
+        order = np.lexsort((cols[1], cols[0]))
+        for i in range(len(cols)):
+            cols[i] = cols[i][order]
+        h, w, d, m, c_w, c_h, b = cols
+        del cols, order
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
         start = np.flatnonzero(new)
@@ -239,7 +243,7 @@ def _counted(unigrams: Unigrams, hot: float):
         pair = np.cumsum(new) - 1
         c = count[pair]
         width = int(d.max()) + 1
-        code = b * width + d
+        code = b.astype(np.int64) * width + d
         n = len(blocks) * width
         p_w = np.log10(unigrams(c_w))
         part_sum = np.where(c == 0, p_w, np.log10(np.maximum(c, 1) / (c_h + (c > K))))
@@ -253,7 +257,7 @@ def _counted(unigrams: Unigrams, hot: float):
         if len(wait):
             index = (np.cumsum(new_h) - 1)[pair[wait]]
             used, index = np.unique(index, return_inverse=True)
-            rows.append((4, None, part, None, None, [pack(x) for x in (hist[used], hist_count[used], covered[used], low[used].ravel(), index.astype(np.int64), b[wait], d[wait], m[wait])], blocks, None))
+            rows.append((4, None, part, None, None, [pack(x) for x in (hist[used], hist_count[used], covered[used], low[used].ravel(), *(y.astype(np.int64) for y in (index, b[wait], d[wait], m[wait])))], blocks, None))
         return _table(rows, _MOVED)
 
     return run
