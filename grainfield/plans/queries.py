@@ -57,11 +57,21 @@ def nonempty_voxels_q(spark, d):
     return nonempty_voxels(padded).select("voxel_id", F.aggregate("x", F.lit(0.0), lambda a, b: a + b).cast("long").alias("total"))
 
 
+#: Cells of one array of the event grid.
+CELLS = 256
+
+
 def _event_grid(spark, d):
-    """A dense grid by event type: counts of each user up to 63, zeros where there are none."""
-    own = event_counts(spark, d).where("voxel_id between 0 and 63")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)).cast("float"))
-    return own.groupBy("feature_idx").agg(F.map_from_entries(F.collect_list(F.struct("voxel_id", "n"))).alias("m")).select("feature_idx", cells.alias("counts"))
+    """A dense grid by event type: counts of all users, zeros where there are none, in rows of CELLS users from first_cell on.
+
+    Rows without any count are left out. An event without a user has no cell.
+    """
+    own = event_counts(spark, d).where("voxel_id is not null")
+    place = F.pmod("voxel_id", F.lit(CELLS))
+    own = own.select("feature_idx", (F.col("voxel_id") - place).alias("first_cell"), place.alias("place"), "n")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)).cast("float"))
+    rows = own.groupBy("feature_idx", "first_cell").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
+    return rows.select("feature_idx", "first_cell", cells.alias("counts"))
 
 
 def explode_grid_q(spark, d):

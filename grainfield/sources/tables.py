@@ -31,9 +31,13 @@ def type_names(ion_types: DataFrame, most: int = 1000) -> list[str]:
 
 
 def explode_grid(grid_dense: DataFrame) -> DataFrame:
-    """(voxel_id, feature_idx, n) of the cells that are not zero; the place in ``counts`` is the cell id. Null counts are zero."""
-    cells = grid_dense.select("feature_idx", F.posexplode("counts").alias("voxel_id", "n"))
-    return cells.where("n <> 0").select(F.col("voxel_id").cast("long").alias("voxel_id"), F.col("feature_idx").cast("int").alias("feature_idx"), F.col("n").cast("double").alias("n"))
+    """(voxel_id, feature_idx, n) of the cells that are not zero; the place in ``counts`` is the cell id. Null counts are zero.
+
+    A grid cut into several rows a feature has the id of each row's first cell in ``first_cell``.
+    """
+    first = F.col("first_cell") if "first_cell" in grid_dense.columns else F.lit(0)
+    cells = grid_dense.select("feature_idx", first.cast("long").alias("first_cell"), F.posexplode("counts").alias("place", "n"))
+    return cells.where("n <> 0").select((F.col("first_cell") + F.col("place")).alias("voxel_id"), F.col("feature_idx").cast("int").alias("feature_idx"), F.col("n").cast("double").alias("n"))
 
 
 def write_results(path: str, **tables: DataFrame) -> None:

@@ -10,6 +10,7 @@ from grainfield.operators.model import fit, project
 from grainfield.operators.moments import gram, matrix_of, mean_spectrum, second_moments
 from grainfield.operators.select import select_ions
 from grainfield.operators.voxels import dense_rows, ion_type_counts, nonempty_voxels, voxel_counts, voxelize
+from grainfield.plans.queries import explode_grid_q
 from grainfield.sources.tables import assign_ion_id, explode_grid, read_ion_types, read_ions, type_names, write_results
 from grainfield.streaming.select import select_stream, to_parquet
 
@@ -256,3 +257,15 @@ def test_varimax_leaves_one_component(spark):
     t = np.array([[0.6], [0.8]])
     r, settled, _ = algebra.varimax(algebra.fourth_moments(algebra.pair_products(t).T @ algebra.pair_products(t), 1), 2)
     assert abs(r[0, 0]) == pytest.approx(1) and settled and math.isfinite(r[0, 0])
+
+
+def test_event_grid_has_all_users(spark, tmp_path):
+    users = [-300, -1, 0, 63, 64, 255, 256, 700, 700, 10**12, None]
+    rows = [(u, t) for i, u in enumerate(users) for t in ["click", "view", "other"][: 1 + i % 3]]
+    spark.createDataFrame(rows, "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for u, t in rows:
+        if u is not None and t != "other":
+            want[u, {"click": 0, "view": 4}[t]] = want.get((u, {"click": 0, "view": 4}[t]), 0) + 1
+    got = explode_grid_q(spark, str(tmp_path)).collect()
+    assert {(r["voxel_id"], r["feature_idx"]): r["n"] for r in got} == want and len(got) == len(want)
