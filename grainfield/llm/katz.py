@@ -6,8 +6,9 @@ r"""Katz backoff scoring of whole texts with a bigram model learned from the cor
     a(h)    = (1 - sum of P(w|h) over seen w) / (1 - sum of P(w) over seen w)
 
 d(c) is the Good-Turing discount of Katz for c <= K, and m / (m + 1) with m = N or c(h) beyond; so every history
-has something left, and all distributions sum to exactly 1. Where the counts of counts give no discounts in (0, 1),
-absolute discounting takes their place.
+has something left, and all distributions sum to exactly 1. Where the counts of counts do not give all discounts in
+(0, 1), they are smoothed to a line of log n(r) over log r first, as in simple Good-Turing. Only a line that falls
+no faster than 1 / r, or fewer than two counts to lay it through, leaves absolute discounting.
 
 How it runs. Texts are cut into blocks of about ``BLOCK`` bytes. A block sends its distinct words with training counts to the
 words' partitions, which answer with corpus counts and ids. It then sends its (history, word, document) triples,
@@ -40,14 +41,25 @@ _END = np.uint64(0x2545F4914F6CDD1D)
 UNKNOWN, BEGIN, FIRST = 0, 1, 2
 
 
+def smoothed(c: np.ndarray) -> np.ndarray:
+    """n(1..K+1) on a line of log n(r) over log r, each count shared with the gap around it; zeros where there is no line."""
+    r = np.flatnonzero(c) + 1
+    if len(r) < 2:
+        return np.zeros(len(c))
+    gap = (np.append(r[1:], 2 * r[-1] - r[-2]) - np.append(0, r[:-1])) / 2
+    slope, level = np.polyfit(np.log(r), np.log(c[r - 1] / gap), 1)
+    return np.exp(level + slope * np.log(np.arange(1, len(c) + 1)))
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """d(1..K) from the counts of counts n(1..K+1)."""
     r, c = np.arange(1, K + 1), np.array(n[: K + 1], np.float64)
-    if (c > 0).all():
-        a = (K + 1) * c[K] / c[0]
-        d = ((r + 1) * c[1:] / (r * c[:-1]) - a) / (1 - a) if a != 1 else r * 0.0
-        if ((d > 0) & (d < 1)).all():
-            return d
+    for m in (c, smoothed(c)):
+        if (m > 0).all():
+            a = (K + 1) * m[K] / m[0]
+            d = ((r + 1) * m[1:] / (r * m[:-1]) - a) / (1 - a) if a != 1 else r * 0.0
+            if ((d > 0) & (d < 1)).all():
+                return d
     cut = min(0.9, max(0.1, c[0] / (c[0] + 2 * c[1]) if c[0] else 0.5))
     return 1 - cut / r
 

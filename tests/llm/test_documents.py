@@ -234,6 +234,21 @@ def test_katz(spark, docs, rows):
         assert got[i]["n_known"] == sum(w in one for w in t) and got[i]["train_tokens"] == total
 
 
+@pytest.mark.parametrize("n", [[207344, 59772, 25017, 14274, 13493, 7080], [1579638, 246704, 51653, 21705, 18939, 7580], [900, 300, 0, 80, 60, 41], [30, 0, 4, 0, 0, 0]])
+def test_katz_irregular_counts_of_counts(n):
+    """Discounts stay those of Good-Turing: (r + 1) n(r + 1) / (r n(r)) of a falling line, less the share of counts above K."""
+    k, r = katz.K, np.arange(1, katz.K + 1)
+    x = [i + 1 for i in range(k + 1) if n[i]]
+    z = [n[i - 1] / (((x[j + 1] if j + 1 < len(x) else 2 * i - x[j - 1]) - (x[j - 1] if j else 0)) / 2) for j, i in enumerate(x)]
+    lx, ly = np.log(x), np.log(z)
+    slope = ((lx - lx.mean()) * (ly - ly.mean())).sum() / ((lx - lx.mean()) ** 2).sum()
+    a = (k + 1) ** (1 + slope)
+    assert slope < -1 and katz.discounts(n) == pytest.approx(((1 + 1 / r) ** (1 + slope) - a) / (1 - a))
+    regular = [1000, 300, 140, 80, 52, 36]
+    c = np.array(regular, float)
+    assert katz.discounts(regular) == pytest.approx(((r + 1) * c[1:] / (r * c[:-1]) - 0.216) / (1 - 0.216))
+
+
 def test_katz_hot_histories(spark, monkeypatch):
     """A history with a quarter of all tokens is dealt by word, and scores stay the same."""
     rng = random.Random(5)
