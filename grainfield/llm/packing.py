@@ -13,6 +13,7 @@ shorter. Columns besides id and text are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,10 @@ from .common import small_batches, written
 
 #: Groups into which the pieces of a length are dealt to be ranked, so that no length is one task's work.
 SALTS = 64
+#: White-space characters from which on a run is cut out before the split pattern, which fails on a million of them.
+RUN = 100_000
+#: Such a run up to its last character if more text follows, all of it at the end. Python alone counts \x1c to \x1f as white space.
+_RUN = re.compile(r"(?<![^\S\x1c-\x1f])[^\S\x1c-\x1f]{%d,}(?=[^\S\x1c-\x1f]|\Z)" % (RUN - 1))
 _loaded: dict = {}
 
 
@@ -56,6 +61,17 @@ def byte_bpe(path: str):
     return _loaded[path]
 
 
+def token_ids(enc, text: str) -> np.ndarray:
+    """The ids of an encoder of ``byte_bpe`` for a text with white-space runs of any length."""
+    if len(text) < RUN:
+        return enc.encode_to_numpy(text)
+    parts, at = [], 0
+    for run in _RUN.finditer(text):
+        parts += [enc.encode_to_numpy(text[at : run.start()]), np.array(enc._encode_single_piece(run.group()), np.uint32)]
+        at = run.end()
+    return np.concatenate([*parts, enc.encode_to_numpy(text[at:])])
+
+
 def cut_points(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: all of full size but the first, which takes what is over."""
     first = n - (n - 1) // size * size
@@ -72,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, w
             out: list[tuple] = []
             blobs = []
             for i, text in enumerate(batch.column(1)):
-                ids = np.append(enc.encode_to_numpy(text.as_py() or ""), end_id).astype("<u4")
+                ids = np.append(token_ids(enc, text.as_py() or ""), end_id).astype("<u4")
                 for k, (start, length) in enumerate(cut_points(len(ids), size)):
                     own = ids[start : start + length]
                     out.append((i, k, start, length, zlib.crc32(own.tobytes())))

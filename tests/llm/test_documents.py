@@ -341,6 +341,21 @@ def test_tokenizer_is_the_same():
     assert all(tok.encode(t, add_special_tokens=False).ids == enc.encode_to_numpy(t).tolist() for t in texts)
 
 
+def test_packing_long_white_space(spark):
+    """Runs above a million characters, and at the limit from which they are cut out, give the ids of ``tokenizers``."""
+    from tokenizers import Tokenizer
+
+    tok, n = Tokenizer.from_file(packing.tokenizer_path()), packing.RUN
+    texts = ["a" + " " * 1_000_001 + "word", " \n" * 700_000 + "x"]
+    texts += [a + w * k + b for a in ("", "it's", "1\x1c") for b in ("", "b", "9", "!", "\x1d", "\n") for w in (" ", "\u3000", "\x85") for k in (n - 1, n, n + 1)]
+    texts += [" " * n + "a" + "\t" * n + "b" + " " * (n + 5), " " * n + "\x1c" + " " * n]
+    enc = packing.byte_bpe(packing.tokenizer_path())
+    assert all(tok.encode(t, add_special_tokens=False).ids == packing.token_ids(enc, t).tolist() for t in texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts[:2])], SCHEMA)
+    got = packing.pack_documents(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts[:2])}
+
+
 def test_packing_odd_rows(spark):
     got = packing.pack_documents(odd(spark))
     assert got.groupBy("doc_id", "piece").count().count() >= 4 and got.where("doc_id is null").count() == 2
