@@ -356,6 +356,22 @@ def test_packing_long_white_space(spark):
     assert {r["doc_id"]: r["n"] for r in got} == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts[:2])}
 
 
+def test_added_tokens_have_their_ids(spark):
+    """The unmodified tokenizer's ids for texts that hold an added token."""
+    from tokenizers import Tokenizer
+
+    tok, path = Tokenizer.from_file(packing.tokenizer_path()), packing.tokenizer_path()
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    e = "<|endoftext|>"
+    texts = ["end <|endoftext|> next", e, e + e, f"a{e}b", f" {e}  {e}\n\n{e} ", f"<|{e}|>", "<|endoftext|", f"it{e}'s", f"x  {e}  y", e[:-1] + e, f"{e}\x1c{e}", f" \t{e}" * 50 + " " * 120_000 + e]
+    enc, rng = packing.byte_bpe(path), random.Random(9)
+    texts += ["".join(rng.choice([e, " ", "\n", "a", "ä", "7", "<|", "|>", "'s", "\u3000"]) for _ in range(40)) for _ in range(200)]
+    assert len(ids(texts[0])) == 4 and all(ids(t) == packing.token_ids(enc, t, packing.added_tokens(path)).tolist() for t in texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts[:11])], SCHEMA)
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack_documents(docs).collect()}
+    assert got == {i: (len(ids(t)) + 1, zlib.crc32(np.array([*ids(t), 2], "<u4").tobytes())) for i, t in enumerate(texts[:11])}
+
+
 def test_packing_odd_rows(spark):
     got = packing.pack_documents(odd(spark))
     assert got.groupBy("doc_id", "piece").count().count() >= 4 and got.where("doc_id is null").count() == 2
