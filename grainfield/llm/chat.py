@@ -4,8 +4,8 @@ A turn of a conversation is written as ``<|turn|>role<|text|>text<|end|>`` and a
 window has had already begins with ``<|again|>``. In roles and texts a backslash becomes ``\b`` and ``<|`` becomes ``\l``, so no
 text can hold a marker, and both read back as they were.
 
-Prefix sums of turn tokens choose the windows: half of what is left of the budget after the system turn and the
-history is one stride, and a turn belongs to the stride in which it begins. Turns above a stride stand alone. Every
+Prefix sums of turn tokens choose the windows: half of what is left of the budget after the system turn (its own
+length, and at least ``Settings.system``) and the history is one stride, and a turn belongs to the stride in which it begins. Turns above a stride stand alone. Every
 window but the first repeats the conversation's system turn (its first turn, if its role is ``system``) and the last turns of
 the window before, as far as they are within the history budget. Repeated turns are never in the loss mask, so every
 assistant text is a target exactly once.
@@ -15,7 +15,8 @@ conversation is gathered as a whole but for the digests of op3, which are of who
 
 Nulls and odd cases: null texts and roles count as empty. Turns are ordered by number (null first), then role
 and text, so ties and repeated rows have a defined order. Rows with a null id form one conversation. Empty
-tables give empty results. A single turn above the budget makes a window above the budget, as turns are never cut.
+tables give empty results. A single turn above the budget makes a window above the budget, as turns are never cut;
+a system turn that leaves no room is repeated all the same, and strides are one token, so each turn has its own window.
 Other columns are not read.
 """
 
@@ -35,7 +36,7 @@ TURN, AGAIN, TEXT, END = "<|turn|>", "<|again|>", "<|text|>", "<|end|>\n"
 
 @dataclass(frozen=True)
 class Settings:
-    """budget: tokens of a window; system, history: tokens of it kept for the system turn and for repeated turns."""
+    """budget: tokens of a window; system, history: tokens of it kept for the system turn, if it has no more, and for repeated turns."""
 
     budget: int = 1024
     system: int = 128
@@ -69,14 +70,16 @@ def windows(turns: DataFrame, settings: Settings = Settings()) -> DataFrame:
     own = own.withColumn("nth", F.row_number().over(order))
     order = W.partitionBy("conv_id").orderBy("nth")
     before = F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("tokens")
-    own = own.withColumn("stride", F.floor(before / s.stride)).withColumn("alone", F.col("tokens") > s.stride)
+    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    is_system = (F.col("nth") == 1) & (F.col("role") == "system")
+    kept = F.greatest(F.lit(s.system), F.max(F.when(is_system, F.col("tokens"))).over(every))
+    own = own.withColumn("room", F.greatest(F.lit(1), F.floor((s.budget - s.history - kept) / 2)))
+    own = own.withColumn("stride", F.floor(before / F.col("room"))).withColumn("alone", F.col("tokens") > F.col("room"))
     new = (F.col("stride") != F.lag("stride").over(order)) | F.col("alone") | F.lag("alone").over(order)
     own = own.withColumn("window", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     back = W.partitionBy("conv_id", "window").orderBy(F.col("nth").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     own = own.withColumn("tail", F.sum("tokens").over(back))
-    every = W.partitionBy("conv_id").orderBy("nth").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     own = own.withColumn("last", F.max("window").over(every))
-    is_system = (F.col("nth") == 1) & (F.col("role") == "system") & (F.col("tokens") <= s.system)
     repeats = (
         F.when(is_system, F.sequence(F.col("window"), F.col("last")))
         .when((F.col("tail") <= s.history) & (F.col("window") < F.col("last")), F.array(F.col("window"), F.col("window") + 1))

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -144,6 +145,17 @@ def test_chat(spark, settings):
     assert chat.windows(spark.createDataFrame([], TURNS)).count() == 0
 
 
+@pytest.mark.parametrize(("system", "whole"), [(128, 1024), (129, 1024), (500, 1024), (897, 1024), (2000, 2000)])
+def test_chat_repeats_long_system_turns(spark, system, whole):
+    rows = [(1, 0, "system", "s " * system)] + [(1, t, ["assistant", "user"][t % 2], f"{t} " * 40) for t in range(1, 60)]
+    got = sorted(chat.windows(spark.createDataFrame(rows, TURNS)).collect(), key=lambda r: r["window"])
+    assert len(got) > 3 and all(r["formatted"].count("system<|text|>" + "s " * system) == 1 for r in got)
+    for r in got:
+        turns = [x.split("<|text|>")[1].split("<|end|>")[0] for x in r["formatted"].split("|>system")[-1].split("<|end|>\n")[1:] if x]
+        assert len(turns) <= 4 or system + sum(len(x.split()) for x in turns) <= whole
+    assert [x for r in got for x in re.findall(r"<[|]turn[|]>\w+<[|]text[|]>(\d+)", r["formatted"])] == [str(t) for t in range(1, 60)]
+
+
 def pages():
     big = "<html>" + "x" * 200
     return [(5, "http://a/1", big), (2, "http://b", big), (9, "http://c", big), (2, "http://b", big), (1, "u\r\nv", "short"), (3, None, "short"), (4, "http://d", None), (6, "http://e", ""), (None, "http://f", big + "y"), (None, "http://g", big + "y"), (7, "http://h", big + "y"), (8, "http://i", "WARC/1.1\r\n\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello" * 5), (10, "x", "é\x00" * 100)]
