@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,29 +16,59 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes at a time (a longer text is a step of its own).
 STEP_BYTES = 1 << 19
+#: Removes a query's shuffle files as soon as its result is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: list[str] = []
+
+
+def _base(spark: SparkSession) -> str:
+    """The shared folder: that of ``spark.checkpoint.dir``; where it is unset, the warehouse, or a temporary folder of a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, inside the folder of the innermost ``scratch_folder``."""
+    return f"{_folders[-1] if _folders else _base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: its lineage ends there, whatever executor is lost later."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what is at a path of the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
 
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str):
+    """Gathers the scratch tables made inside in one folder, which is deleted at the end."""
+    _folders.append(scratch_path(spark, name))
+    try:
+        yield
+    finally:
+        remove(spark, _folders.pop())
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts stays small in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def stored(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table at path, read back: its lineage ends there, whatever executor is lost later. Its shuffles go at once."""
+    spark = df.sparkSession
+    clean = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, clean)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back."""
+    return stored(df, scratch_path(df.sparkSession, name))
 
 
 def word_count(text: Column) -> Column:
@@ -83,13 +114,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def steps(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, slice) of a string array in slices of about STEP_BYTES."""
+def steps(texts: pa.Array, size: int = 0) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) of a string array in slices of about size bytes, STEP_BYTES if not given."""
     texts = texts.cast(pa.large_string())
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + STEP_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + (size or STEP_BYTES), "right")) - 1)
         yield i, texts.slice(i, j - i)
         i = j
 
@@ -179,10 +210,10 @@ def slide(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
 
 
 def pack(a: np.ndarray) -> bytes:
-    """A 64-bit column as compressed byte planes."""
+    """A column as compressed planes of the bytes of 64-bit numbers."""
     import zstandard
 
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T
+    planes = np.ascontiguousarray(a if a.dtype.itemsize == 8 else a.astype(np.int64)).view(np.uint8).reshape(-1, 8).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, crc_mod, mix64, small_batches, steps, utf8
+from .common import _LOWER, crc_mod, mix64, steps, utf8
 
 UNKNOWN = "und"
 
@@ -89,7 +89,6 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     Only the n-grams above the least share come to the driver: at most 1 / share of each size and language.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     labelled = docs.where("lang is not null and text is not null")
     found = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(settings.languages + 1).collect()
     if len(found) > settings.languages:
@@ -163,7 +162,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score in place of any columns of these names; reads each text once."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    small_batches(docs.sparkSession, 500)
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: the settings give its slots

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, hash_parts, mix64, pack, small_batches, steps, unpack, written
+from .common import Words, hash_parts, mix64, pack, steps, unpack, written
 from .components import connected_components, join_roots
 
 
@@ -226,7 +226,6 @@ def _links(docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     s, spark = settings, docs.sparkSession
-    small_batches(spark, 500)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = written(sizes_table(docs, s), "mh-sizes")
     real = table.where("n_shingles > 0 and doc_id is not null")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, scratch_path, slide, small_batches, steps, written
+from .common import Words, mix64, scratch_path, slide, steps, written
 
 #: Words of an anchor.
 K = 16
@@ -86,7 +86,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def anchor_table(docs: DataFrame, window: int) -> DataFrame:
     """(node, context, doc_id, _ss_key, pos) of every anchor of every text."""
-    small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -208,30 +208,80 @@ def test_substring_odd_rows(spark):
     assert gone == {(None, 0), (7, 0), (8, 160)}
 
 
-def test_katz(spark, docs, rows):
-    got = {r["doc_id"]: r for r in katz.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(False)).collect()}
-    texts = {r[0]: (r[1] or "").encode().translate(LOWER).split() + [None] for r in rows}
-    train = [w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    one = collections.Counter(w for t in train for w in t)
-    two = collections.Counter(p for t in train for p in zip(["begin", *t[:-1]], t))
-    past = collections.Counter(h for t in train for h in ["begin", *t[:-1]])
-    total, k = sum(one.values()), katz.K
-    n1, n2 = collections.Counter(one.values()), collections.Counter(two.values())
-    d1, d2 = (katz.discounts([n[r] for r in range(1, k + 2)]) for n in (n1, n2))
-    p1 = {w: d1[c - 1] * c / total if c <= k else c / (total + 1) for w, c in one.items()}
+def katz_by_hand(texts, train, order):
+    """Log probabilities of token lists by the recursion as written, with dictionaries; texts: {id: tokens}."""
+    begin, k = "begin", katz.K
+    padded = [[begin] * (order - 1) + t for t in train]
+    grams = {j: collections.Counter(tuple(t[i - j + 1 : i + 1]) for t in padded for i in range(order - 1, len(t))) for j in range(1, order + 1)}
+    past = {j: collections.Counter(tuple(t[i - j + 1 : i]) for t in padded for i in range(order - 1, len(t))) for j in range(2, order + 1)}
+    d = {j: katz.discounts([collections.Counter(g.values())[r] for r in range(1, k + 2)]) for j, g in grams.items()}
+    total = sum(grams[1].values())
+    p1 = {g: d[1][c - 1] * c / total if c <= k else c / (total + 1) for g, c in grams[1].items()}
     unknown = 1 - math.fsum(p1.values())
-    p2 = {(h, w): d2[c - 1] * c / past[h] if c <= k else c / (past[h] + 1) for (h, w), c in two.items()}
-    seen = collections.defaultdict(list)
-    for h, w in two:
-        seen[h].append(w)
-    weight = {h: (1 - math.fsum(p2[h, w] for w in ws)) / (1 - math.fsum(p1[w] for w in ws)) for h, ws in seen.items()}
-    for h in list(seen)[:20]:  # every history's probabilities sum to 1
-        assert math.fsum(p2.get((h, w), weight[h] * p1[w]) for w in one) + weight[h] * unknown == pytest.approx(1)
+    after = {j: collections.defaultdict(list) for j in grams}
+    for j in range(2, order + 1):
+        for g in grams[j]:
+            after[j][g[:-1]].append(g)
+    found, weights = {}, {}
+
+    def prob(g):
+        if len(g) == 1:
+            return p1.get(g, unknown)
+        if g not in found:
+            c, m, h = grams[len(g)].get(g, 0), past[len(g)].get(g[:-1], 0), g[:-1]
+            if c:
+                found[g] = d[len(g)][c - 1] * c / m if c <= k else c / (m + 1)
+            elif not m:
+                found[g] = prob(g[1:])
+            else:
+                if h not in weights:
+                    weights[h] = (1 - math.fsum(prob(x) for x in after[len(g)][h])) / (1 - math.fsum(prob(x[1:]) for x in after[len(g)][h]))
+                found[g] = weights[h] * prob(g[1:])
+        return found[g]
+
+    for h in list(past[order])[:10]:  # every history's probabilities sum to 1
+        assert math.fsum(prob((*h, *w)) for w in grams[1]) + prob((*h, "no such word")) == pytest.approx(1)
+    out = {}
+    for i, t in texts.items():
+        own = [begin] * (order - 1) + t
+        out[i] = sum(math.log10(prob(tuple(own[j - order + 1 : j + 1]))) for j in range(order - 1, len(own)))
+    return out, grams[1], total
+
+
+@pytest.mark.parametrize(("order", "more"), [(2, {}), (3, {}), (4, {}), (2, {"tokens": 500, "least": 5}), (3, {"tokens": 700, "least": 3, "block": 20_000}), (4, {"tokens": 900, "least": 1, "block": 9000})])
+def test_katz(docs, rows, order, more):
+    """Brute force; with few tokens a partition and a low bound, histories of every length are hot."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    got = {r["doc_id"]: r for r in katz.score(docs, fold != 2, fold == 2, katz.Settings(order=order, **more)).collect()}
+    texts = {r[0]: (r[1] or "").encode().translate(LOWER).split() + [None] for r in rows}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    want, one, total = katz_by_hand(texts, [t for i, t in texts.items() if not out[i]], order)
     for i, t in texts.items():
-        s = sum(math.log10(p2[h, w]) if (h, w) in p2 else math.log10(weight.get(h, 1) * p1.get(w, unknown)) for h, w in zip(["begin", *t[:-1]], t))
-        assert got[i]["score"] == pytest.approx(s, rel=1e-9) and got[i]["n_tokens"] == len(t)
-        assert got[i]["base_score"] == pytest.approx(sum(math.log10((one[w] + 1) / (total + len(one) + 1)) for w in t))
-        assert got[i]["n_known"] == sum(w in one for w in t) and got[i]["train_tokens"] == total
+        assert got[i]["score"] == pytest.approx(want[i], rel=1e-9) and got[i]["n_tokens"] == len(t) and got[i]["held_out"] == out[i]
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((one[w,] + 1) / (total + len(one) + 1)) for w in t))
+        assert got[i]["n_known"] == sum((w,) in one for w in t) and got[i]["train_tokens"] == total
+
+
+def test_katz_repeated_files_and_rows(spark, docs, rows):
+    """Equal blocks in several tasks, and blocks of null rows, count each."""
+    twice = docs.union(docs).union(spark.createDataFrame([(None, None, None, None, None)] * 6, SCHEMA).repartition(3))
+    got = katz.score(twice, F.col("doc_id").isNotNull(), F.lit(False)).collect()
+    texts = {r[0]: (r[1] or "").encode().translate(LOWER).split() + [None] for r in rows}
+    want, _, total = katz_by_hand({**texts, None: [None]}, [*texts.values(), *texts.values()], 3)
+    assert collections.Counter(r["doc_id"] for r in got) == {**dict.fromkeys(texts, 2), None: 6}
+    assert all(r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9) and r["train_tokens"] == total for r in got)
+
+
+def test_katz_tells_repeated_texts_apart(spark):
+    """A text that others repeat is likelier by trigrams than by bigrams, word by word."""
+    rng = random.Random(8)
+    line = lambda: " ".join(f"w{rng.randrange(40)}" for _ in range(60))
+    seen = [line() for _ in range(20)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(seen * 2 + [line() for _ in range(20)])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    gain = {n: {r["doc_id"]: r["score"] - r["base_score"] for r in katz.score(df, F.col("doc_id") < 20, F.col("doc_id") >= 20, katz.Settings(order=n)).collect()} for n in (2, 3)}
+    assert min(gain[3][i] for i in range(20, 40)) > max(gain[3][i] for i in range(40, 60))
+    assert all(gain[3][i] > gain[2][i] for i in range(20, 40))
 
 
 @pytest.mark.parametrize("n", [[207344, 59772, 25017, 14274, 13493, 7080], [1579638, 246704, 51653, 21705, 18939, 7580], [900, 300, 0, 80, 60, 41], [30, 0, 4, 0, 0, 0]])
@@ -249,19 +299,14 @@ def test_katz_irregular_counts_of_counts(n):
     assert katz.discounts(regular) == pytest.approx(((r + 1) * c[1:] / (r * c[:-1]) - 0.216) / (1 - 0.216))
 
 
-def test_katz_hot_histories(spark, monkeypatch):
-    """A history with a quarter of all tokens is dealt by word, and scores stay the same."""
+def test_katz_hot_histories(spark):
+    """A history with half of all tokens is dealt by more words, and scores stay the same."""
     rng = random.Random(5)
     rows = [(i, " ".join(w for _ in range(60) for w in ("the", rng.choice("abcdefgh") * rng.randint(1, 9))), "en", "s", 1) for i in range(60)]
     df = spark.createDataFrame(rows, SCHEMA)
     fold = F.col("doc_id") % 5
-    get = lambda: {r["doc_id"]: r["score"] for r in katz.score(df, fold != 0, fold == 0).collect()}
-    hot = get()
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    try:
-        assert get() == pytest.approx(hot, rel=1e-9)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    get = lambda **s: {r["doc_id"]: r["score"] for r in katz.score(df, fold != 0, fold == 0, katz.Settings(**s)).collect()}
+    assert get(tokens=400, least=20) == pytest.approx(get(), rel=1e-9)
 
 
 def test_katz_odd_rows(spark):
