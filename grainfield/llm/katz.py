@@ -375,8 +375,8 @@ def _hot_answers(k: int, c: Corpus):
 
 def _entries(c: Corpus):
     """Makes of a block and its answers: kind 0, its documents with what needs no history, and kind 1, entries by partition: words before w
-    from the nearest on, w, document and whether it is learned from, times, count of w, counts of the k-grams with hot histories, counts of
-    histories as far as they are known."""
+    from the nearest on, w, document and whether it is learned from, times, counts of the k-grams with hot histories, counts of hot
+    histories; and a count of each distinct w."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         b, n, m = Block(block, answers, c, c.order - 1), c.order, c.order - 1
@@ -398,18 +398,24 @@ def _entries(c: Corpus):
             if deep.any():
                 key[deep] = _hashed([key[deep], (past[k] if k < m else w)[deep]])
         p = hash_parts(key, c.parts)
-        columns = [*past, w, doc * 2 + b.train[doc], times, b.count[1][place]]
+        columns = [*past, w, doc * 2 + b.train[doc], times]
         columns += [np.where(b.asked[k][place], b.count[k][place], 0) for k in range(2, n)]
-        columns += [b.count[k][place - 1] * b.asked[k][place - 1] for k in range(1, n)]
+        columns += [np.where(hot[k - 1], b.count[k][place - 1], 0) for k in range(1, n)]
+        count = b.count[1][place]
         order, bounds = _dealt(p, c.parts)
         mark = block.column("block")[0].as_py()
         rows = [{"kind": 0, "block": mark, "p": zlib.crc32(mark.encode()) % c.parts, "doc_ids": block.column("doc_ids")[0].as_py(), "held": block.column("held")[0].as_py(), "cols": [pack(b.size), pack(known), pack(base), pack(own)]}]
-        rows += [{"kind": 1, "block": mark, "p": int(i), "cols": [pack(x[order[s:e]]) for x in columns]} for i, s, e in bounds.tolist()]
+        rows += [{"kind": 1, "block": mark, "p": int(i), "cols": [*(pack(x[order[s:e]]) for x in columns), pack(_by_word(w[order[s:e]], count[order[s:e]]))]} for i, s, e in bounds.tolist()]
         return _table(rows, _MOVED)
 
     return run
 
 
+def _by_word(w: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Counts of the distinct words in w, in the order of their ids."""
+    return count[np.unique(w, return_index=True)[1]]
+
+
 class Level:
     """The k-grams of a partition. of: number of each entry's k-gram; count; hist: number of each k-gram's history; c_h: of each history; sums: what
     its backoff weight is made of; words: of each history, nearest first; full: whether all of a history's k-grams are here."""
@@ -459,7 +465,11 @@ def _counted(c: Corpus):
         blocks = mine.column("block").to_pylist()
         sizes = [len(unpack(row[0].as_py())) for row in mine.column("cols")]
         # one column after another, in 32 bits where they do: no second copy of all entries
-        cols = [_narrow(np.concatenate([unpack(row[i].as_py()) for row in mine.column("cols")])) for i in range(m + 4 + (n - 2) + m)]
+        cols = [_narrow(np.concatenate([unpack(row[i].as_py()) for row in mine.column("cols")])) for i in range(m + 3 + (n - 2) + m)]
+        ends = np.cumsum(sizes)
+        each = [unpack(row[m + 3 + n - 2 + m].as_py())[np.unique(cols[m][e - x : e], return_inverse=True)[1]] for row, e, x in zip(mine.column("cols"), ends, sizes, strict=True)]
+        cols.insert(m + 3, _narrow(np.concatenate(each)))
+        del each
         cols.append(np.repeat(np.arange(len(blocks), dtype=np.int32), sizes))
         del mine
         order = _sorted([cols[0], cols[m], *cols[1:m]])
