@@ -36,6 +36,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +54,15 @@ UNKNOWN, BEGIN, FIRST = 0, 1, 2
 @dataclass(frozen=True)
 class Settings:
     """order: words of an n-gram, 2 or more; block: bytes of text in a block; tokens: of a partition, on average; share: a history
-    of more than this share of a partition's tokens is hot, if it has ``least`` tokens."""
+    of more than this share of a partition's tokens is hot, if it has ``least`` tokens; rounds: in which entries are sent, each to its share
+    of the partitions, so that no more of them are on disk at once."""
 
     order: int = 3
     block: int = 1 << 22
     tokens: int = 1 << 20
     share: float = 0.25
     least: int = 1000
+    rounds: int = 2
 
 
 def smoothed(c: np.ndarray) -> np.ndarray:
@@ -373,8 +376,9 @@ def _hot_answers(k: int, c: Corpus):
     return run
 
 
-def _entries(c: Corpus):
-    """Makes of a block and its answers: kind 0, its documents with what needs no history, and kind 1, entries by partition: words before w
+def _entries(c: Corpus, turn: int, turns: int):
+    """Makes of a block and its answers: kind 0, its documents with what needs no history (on the first turn), and kind 1, entries by
+    partition, of the partitions whose turn it is: words before w
     from the nearest on, w, document and whether it is learned from, times, counts of the k-grams with hot histories, counts of hot
     histories; and a count of each distinct w."""
 
@@ -398,13 +402,16 @@ def _entries(c: Corpus):
             if deep.any():
                 key[deep] = _hashed([key[deep], (past[k] if k < m else w)[deep]])
         p = hash_parts(key, c.parts)
+        if turns > 1:
+            mine = np.flatnonzero(p % turns == turn)
+            p, w, doc, times, place, past, hot = p[mine], w[mine], doc[mine], times[mine], place[mine], [x[mine] for x in past], [x[mine] for x in hot]
         columns = [*past, w, doc * 2 + b.train[doc], times]
         columns += [np.where(b.asked[k][place], b.count[k][place], 0) for k in range(2, n)]
         columns += [np.where(hot[k - 1], b.count[k][place - 1], 0) for k in range(1, n)]
         count = b.count[1][place]
         order, bounds = _dealt(p, c.parts)
         mark = block.column("block")[0].as_py()
-        rows = [{"kind": 0, "block": mark, "p": zlib.crc32(mark.encode()) % c.parts, "doc_ids": block.column("doc_ids")[0].as_py(), "held": block.column("held")[0].as_py(), "cols": [pack(b.size), pack(known), pack(base), pack(own)]}]
+        rows = [{"kind": 0, "block": mark, "p": zlib.crc32(mark.encode()) % c.parts, "doc_ids": block.column("doc_ids")[0].as_py(), "held": block.column("held")[0].as_py(), "cols": [pack(b.size), pack(known), pack(base), pack(own)]}][: turn == 0]
         rows += [{"kind": 1, "block": mark, "p": int(i), "cols": [*(pack(x[order[s:e]]) for x in columns), pack(_by_word(w[order[s:e]], count[order[s:e]]))]} for i, s, e in bounds.tolist()]
         return _table(rows, _MOVED)
 
@@ -609,7 +616,8 @@ def score(docs: DataFrame, train: Column, held: Column, settings: Settings = Set
     for k in range(2, n):
         asked = with_answers(_hot_requests(k, c), _sql(_REQUEST))
         told.append(stored(asked.groupBy("p").applyInArrow(_hot_answers(k, c), _sql(_ANSWER)), paths[f"hot{k}"], ("kind",)))
-    tables = stored(with_answers(_entries(c), _sql(_MOVED)).groupBy("p").applyInArrow(_counted(c), _sql(_MOVED)), paths["sums"], ("kind",))
+    turns = [stored(with_answers(_entries(c, i, settings.rounds), _sql(_MOVED)).groupBy("p").applyInArrow(_counted(c), _sql(_MOVED)), f"{paths['sums']}-{i}", ("kind",)) for i in range(settings.rounds)]
+    tables = reduce(DataFrame.union, turns)
     remove(spark, paths["blocks"])
     for k in (1, *range(2, n)):
         remove(spark, f"{paths['words' if k == 1 else f'hot{k}']}/kind=0")
