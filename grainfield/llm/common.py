@@ -63,7 +63,7 @@ def stored(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
         df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(_CLEAN, clean)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
