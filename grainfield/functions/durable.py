@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, the warehouse on a cluster, and a temporary folder in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        alone = master.startswith("local") and not master.startswith("local-cluster")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one is set where that is unset."""
+    """df as a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -51,6 +51,28 @@ class Model:
         return spark.createDataFrame(rows, "component int, feature_idx int, loading double")
 
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        """The model as tables below path: eigenvalues, features (mean, weights and loadings of each) and fit. ``load_model`` reads them."""
+        self.eigenvalue_table(spark).write.mode("overwrite").parquet(f"{path}/eigenvalues")
+        rows = [(i, float(self.mean[i]), [float(x) for x in self.to_scores[i]], [float(x) for x in self.loadings[i]]) for i in range(len(self.mean))]
+        spark.createDataFrame(rows, FEATURES).write.mode("overwrite").parquet(f"{path}/features")
+        spark.createDataFrame([(self.n, self.components, self.converged, self.steps)], FIT).write.mode("overwrite").parquet(f"{path}/fit")
+
+
+#: Columns of a saved model's tables.
+FEATURES, FIT = "feature_idx int, mean double, to_scores array<double>, loadings array<double>", "n long, components int, converged boolean, steps int"
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """The model that ``Model.save`` wrote; its tables are as long as the features, which bound the width of the rows."""
+    values = spark.read.parquet(f"{path}/eigenvalues").orderBy("idx").collect()
+    own = spark.read.schema(FEATURES).parquet(f"{path}/features").orderBy("feature_idx").collect()
+    how = spark.read.schema(FIT).parquet(f"{path}/fit").first()
+    shape = (len(own), how["components"])
+    to_scores, loadings = (np.array([r[c] for r in own], np.float64).reshape(shape) for c in ("to_scores", "loadings"))
+    return Model(np.array([r["eigenvalue"] for r in values]), to_scores, loadings, np.array([r["mean"] for r in own]), how["n"], how["converged"], how["steps"])
+
+
 def project(m: DataFrame, to_scores: np.ndarray) -> DataFrame:
     """(voxel_id, scores) with scores = x @ to_scores; as generated code for small models, as matrix products of Arrow batches for others."""
     k, p = to_scores.shape
@@ -79,7 +101,7 @@ def fit(m: DataFrame, width: int, components: int, tol: float = 1e-8, max_iter:
     """A model with so many components (0: eigenvalues only) of (voxel_id, x) rows of width counts.
 
     Pass 1: mean and second moments. Pass 2, from two components on: moments of order four of the scores, for the rotation. The
-    voxels are kept between the passes. Raises ValueError for more components than features, voxels or rank.
+    voxels are kept between the passes (those of a lost executor are counted again). Raises ValueError for more components than features, voxels or rank.
     """
     own = nonempty_voxels(m)
     keep = components > 1 and not own.is_cached

@@ -34,8 +34,8 @@ def score_bounds(scores: DataFrame, k: int) -> DataFrame:
 def score_histogram(df: DataFrame, col: str, bin_size: float = 0.01) -> DataFrame:
     """(bin, left_edge, n): counts in bins from the smallest value on, empty bins included.
 
-    The largest value is in the last bin; equal values make one bin. Arithmetic is in the column's own type. Nulls are
-    not counted; without values there are no bins.
+    The largest value is in the last bin; equal values make one bin. Arithmetic is in the column's own type. Nulls, NaN and
+    infinite values are not counted; without values there are no bins. Raises ValueError for more bins than an int can number.
     """
     kind = "float" if df.schema[col].dataType.simpleString() == "float" else "double"
 
@@ -43,14 +43,16 @@ def score_histogram(df: DataFrame, col: str, bin_size: float = 0.01) -> DataFram
         """span over the bin size; Spark divides floats as doubles, and rounding that once more is the quotient of floats."""
         return (span / F.lit(bin_size).cast(kind)).cast(kind)
 
-    own = df.select(F.col(col).cast(kind).alias("v")).where("v is not null and not isnan(v)")
+    own = df.select(F.col(col).cast(kind).alias("v")).where(F.abs("v") < float("inf"))
     low = own.agg(F.min("v").alias("low"), F.max("v").alias("high")).select("low", F.ceil(ratio(F.col("high") - F.col("low"))).alias("bins")).first()
     spark = df.sparkSession
     if low["low"] is None:
         return spark.createDataFrame([], "bin int, left_edge double, n long")
     last = max(1, math.ceil(low["bins"])) - 1
+    if last >= 1 << 31:
+        raise ValueError(f"{last + 1} bins")
     start = F.lit(low["low"]).cast(kind)
-    at = F.least(ratio(F.col("v") - start).cast("int"), F.lit(last))
+    at = F.least(ratio(F.col("v") - start).cast("long"), F.lit(last)).cast("int")
     counts = own.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
     bins = spark.range(last + 1).select(F.col("id").cast("int").alias("bin"))
     edge = F.lit(low["low"]).cast("double") + F.col("bin") * F.lit(float(bin_size))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.grid import voxel_id
+from ..functions.durable import shared_folder
+from ..functions.grid import GridSpec, voxel_id
 from ..operators import algebra, report
-from ..operators.model import Model, fit, moments_of
+from ..operators.model import Model, fit, load_model, moments_of
 from ..operators.moments import mean_spectrum, second_moments
 from ..operators.select import select_ions
 from ..operators.voxels import dense_rows, ion_type_counts, nonempty_voxels, voxel_counts, voxelize
-from ..sources.tables import assign_ion_id, explode_grid
+from ..sources.tables import assign_ion_id, explode_grid, read_ion_types, read_ions, write_results
 from ..streaming.select import select_stream, to_parquet
 from .recipes import EVENT_TYPES, GRID, ISOVALUE, NAMES, PHASE2, PHASE3, as_ions, event_counts, ion_types, lineitem_ions
 
@@ -165,23 +166,28 @@ def score_histogram_q(spark, d):
 
 
 def fit_events_1(spark, d):
-    """Eigenvalues of users by event type: five features, none of them from the grid."""
+    """Scores of users on the first factor of their events by type: five features, none of them from the grid."""
     m = dense_rows(event_counts(spark, d), len(EVENT_TYPES))
     model = fit(m, len(EVENT_TYPES), 1)
     return model.transform(m).select("voxel_id", F.round(F.get("scores", F.lit(0)), 5).alias("score"))
 
 
 def fit_phase3_3(spark, d):
-    """Scores of three rotated components, as one row a voxel and component."""
+    """Three rotated components of three features, in forms that no rotation, order or sign changes: the counts, which scores times loadings
+    give back, and the squared length of each voxel's scores."""
     m, model = _fitted(spark, d, "phase3", 3)
-    return model.transform(m).select("voxel_id", F.posexplode("scores").alias("component", "score"))
+    t = F.col("scores")
+    back = [F.round(sum(t[c] * float(model.loadings[k, c]) for c in range(3)), 6).cast("long").alias(n) for k, n in enumerate("abc")]
+    return model.transform(m).select("voxel_id", *back, F.round(sum(t[c] * t[c] for c in range(3)), 3).alias("squared_length"))
 
 
 def fit_plain7_3(spark, d):
-    """Eigenvalues of a seven-feature fit with three rotated components, and the bounds of each component's scores."""
+    """Three rotated components of seven features: number and sum of squares of each component's scores, which are orthonormal (times
+    1000), and the sum of all eigenvalues."""
     m, model = _fitted(spark, d, "plain7", 3)
-    bounds = model.transform(m).select(F.posexplode("scores").alias("component", "score"))
-    return bounds.groupBy("component").agg(F.count("*").alias("n"), F.min("score").alias("min"), F.max("score").alias("max"))
+    total = float(model.eigenvalues.sum())
+    own = model.transform(m).select(F.posexplode("scores").alias("component", "score"))
+    return own.groupBy("component").agg(F.count("*").alias("n"), F.round(F.sum(F.col("score") * F.col("score")), 3).alias("sum_squares")).withColumn("eigenvalue_sum", F.lit(round(total, 6)))
 
 
 def assign_ion_id_q(spark, d):
@@ -189,18 +195,76 @@ def assign_ion_id_q(spark, d):
     return own.select("event_id", "ion_id")
 
 
-def stream_select_ions(spark, d):
-    """The selection of select_ions, from a stream of the same rows; the result is read back from its sink."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    folder = f"{base.rstrip('/')}/stream-{np.random.default_rng().integers(1 << 62):x}"
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _streamed(spark, d, invert):
+    """A selection from a stream of the rows of lineitem; the result is read back from its sink. Scores are a written table."""
+    folder = _folder(spark, "stream")
     schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
     lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
-    scores = spark.createDataFrame(_scores(spark, d).collect(), "voxel_id long, scores array<double>")  # GRID has 300 cells
-    picked = _chosen(select_stream(as_ions(lines, "phase2"), scores, GRID, 0, ISOVALUE))
+    write_results(folder, scores=_scores(spark, d))
+    picked = _chosen(select_stream(as_ions(lines, "phase2"), spark.read.parquet(f"{folder}/scores"), GRID, 0, ISOVALUE, invert))
     to_parquet(picked, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema(picked.schema).parquet(f"{folder}/out")
 
 
+def stream_select_ions(spark, d):
+    """The selection of select_ions, from a stream of the same rows."""
+    return _streamed(spark, d, False)
+
+
+def stream_select_ions_inverted(spark, d):
+    """All other rows, from a stream."""
+    return _streamed(spark, d, True)
+
+
+def ions_round_trip(spark, d):
+    """Ions written as a result table and read by the reader of ions."""
+    folder = _folder(spark, "ions")
+    ions = lineitem_ions(spark, d, "phase3").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ion_id"), "x", "y", "z", "ion")
+    write_results(folder, ions=ions)
+    return read_ions(spark, f"{folder}/ions").select("ion_id", *[F.col(c).cast("double").alias(c) for c in "xyz"], "ion")
+
+
+def ion_types_round_trip(spark, d):
+    """The distinct types of all ions, numbered in their order, written and read by the reader of types; with the number of ions of each."""
+    folder = _folder(spark, "types")
+    ions = lineitem_ions(spark, d, "plain7")
+    types = assign_ion_id(ions.select("ion").distinct(), ["ion"], "feature_idx")
+    write_results(folder, types=types.select(F.col("feature_idx").cast("int"), "ion"))
+    return ion_type_counts(ions, read_ion_types(spark, f"{folder}/types")).select("feature_idx", "ion", "n")
+
+
+def results_round_trip(spark, d):
+    """A fit's scores and selected ions written as results, and the scores of the selected ions' voxels read back."""
+    folder = _folder(spark, "results")
+    scores = _scores(spark, d)
+    write_results(folder, scores=scores, selected=select_ions(lineitem_ions(spark, d, "phase2"), scores, GRID, 0, ISOVALUE))
+    cell = voxel_id(F.col("x"), F.col("y"), F.col("z"), GRID)
+    own = spark.read.parquet(f"{folder}/selected").groupBy(cell.alias("voxel_id")).agg(F.count("*").alias("n"))
+    return own.join(spark.read.parquet(f"{folder}/scores"), "voxel_id").select("voxel_id", "n", F.round(F.get("scores", F.lit(0)), 6).alias("score"))
+
+
+def saved_model(spark, d):
+    """Scores by a model that was saved and loaded again: no second fit."""
+    m, model = _fitted(spark, d)
+    folder = _folder(spark, "model")
+    model.save(folder, spark)
+    return load_model(spark, folder).transform(m).select("voxel_id", F.round(F.get("scores", F.lit(0)), 6).alias("score"))
+
+
+#: Fewer cells along each axis than the data has: most positions pass an axis and land in another row of cells.
+NARROW = GridSpec(min=GRID.min, size=GRID.size, bins=(4, 2, 5))
+
+
+def voxel_ids_wrapped(spark, d):
+    """Cell ids without bounds, where positions alias past an axis."""
+    ions = lineitem_ions(spark, d, "phase2")
+    return ions.select("l_orderkey", "l_linenumber", voxel_id(F.col("x"), F.col("y"), F.col("z"), NARROW).alias("voxel_id"))
+
+
 QUERIES = {
     "voxel_ids": voxel_ids,
     "voxel_counts": voxel_counts_q,
@@ -228,6 +292,12 @@ QUERIES = {
     "score_histogram": score_histogram_q,
     "assign_ion_id": assign_ion_id_q,
     "stream_select_ions": stream_select_ions,
+    "stream_select_ions_inverted": stream_select_ions_inverted,
+    "ions_round_trip": ions_round_trip,
+    "ion_types_round_trip": ion_types_round_trip,
+    "results_round_trip": results_round_trip,
+    "saved_model": saved_model,
+    "voxel_ids_wrapped": voxel_ids_wrapped,
 }
 
 _CELL = "CAST(trunc((l_quantity - 0.5) / 5) AS BIGINT) + 10 * CAST(trunc((l_discount + 0.005) / 0.02) AS BIGINT) + 60 * CAST(trunc((l_tax + 0.005) / 0.02) AS BIGINT)"
@@ -251,13 +321,29 @@ _LOADS = "(SELECT 0 AS feature_idx, 'A' AS ion, sum(a * score) / 1e6 AS loading
 _TYPES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(EVENT_TYPES)) + ") AS k(feature_idx, event_type)"
 _HITS = f"WITH {_M2} SELECT l_orderkey, l_linenumber FROM ions WHERE"
 
+def _power_sql(k: int, steps: int = 60) -> str:
+    """SQL of the scores on the first factor of k features: power iteration on the noise-weighted second moments, from the vector of ones."""
+    names = [f"c{i}" for i in range(k)]
+    cell = lambda i, j: f"coalesce(avg({names[i]} * {names[j]}) / nullif(sqrt(avg({names[i]}) * avg({names[j]})), 0), 0) AS g{i}_{j}"
+    row = lambda i: " + ".join(f"g{i}_{j} * v{j}" for j in range(k))
+    length = "sqrt(" + " + ".join(f"({row(i)}) ** 2" for i in range(k)) + ")"
+    counts = ", ".join(f"(count(*) FILTER (event_type = '{t}'))::DOUBLE AS {n}" for n, t in zip(names, EVENT_TYPES, strict=True))
+    types = ", ".join(f"'{t}'" for t in EVENT_TYPES)
+    return f"""WITH RECURSIVE m AS (SELECT user_id::BIGINT AS voxel_id, {counts} FROM events WHERE event_type IN ({types}) GROUP BY user_id),
+g AS (SELECT {", ".join(cell(i, j) for i in range(k) for j in range(k))}, {", ".join(f"avg({n}) AS m{i}" for i, n in enumerate(names))} FROM m),
+p AS (SELECT 0 AS step, {", ".join(f"1::DOUBLE AS v{i}" for i in range(k))} UNION ALL
+      SELECT step + 1, {", ".join(f"({row(i)}) / {length}" for i in range(k))} FROM p, g WHERE step < {steps}),
+t AS (SELECT voxel_id, {" + ".join(f"coalesce({n} * v{i} / nullif(sqrt(m{i}), 0), 0)" for i, n in enumerate(names))} AS t FROM m, g, p WHERE step = {steps})
+SELECT voxel_id, round(1000 * t / sqrt((SELECT sum(t * t) FROM t)), 5) AS score FROM t"""
+
+
 ORACLE = {
     "voxel_ids": f"SELECT l_orderkey, l_linenumber, {_CELL} AS voxel_id FROM lineitem",
     "voxel_counts": f"WITH {_rows(PHASE3)} SELECT voxel_id, CASE ion WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END AS feature_idx, count(*)::DOUBLE AS n FROM ions GROUP BY ALL",
     "voxel_matrix": f"WITH {_M3} SELECT voxel_id, a, b, c FROM m",
     "ion_type_counts": "SELECT (l_linenumber - 1)::INT AS feature_idx, 't' || l_linenumber AS ion, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY l_linenumber",
     "nonempty_voxels": f"SELECT user_id::BIGINT AS voxel_id, count(*) AS total FROM events WHERE event_type IN (SELECT event_type FROM {_TYPES}) GROUP BY user_id",
-    "explode_grid": f"SELECT user_id::BIGINT AS voxel_id, feature_idx::INT AS feature_idx, count(*)::DOUBLE AS n FROM events JOIN {_TYPES} USING (event_type) WHERE user_id BETWEEN 0 AND 63 GROUP BY ALL",
+    "explode_grid": f"SELECT user_id::BIGINT AS voxel_id, feature_idx::INT AS feature_idx, count(*)::DOUBLE AS n FROM events JOIN {_TYPES} USING (event_type) WHERE user_id IS NOT NULL GROUP BY ALL",
     "mean_spectrum": f"WITH {_M3} SELECT feature_idx::INT AS feature_idx, round(avg(x), 6) AS mean, count(*) AS n FROM (SELECT 0 AS feature_idx, a AS x FROM m UNION ALL SELECT 1, b FROM m UNION ALL SELECT 2, c FROM m) GROUP BY feature_idx",
     "second_moments": f"WITH {_M3}, x AS (SELECT voxel_id, 0 AS i, a AS v FROM m UNION ALL SELECT voxel_id, 1, b FROM m UNION ALL SELECT voxel_id, 2, c FROM m) SELECT p.i::INT AS i, q.i::INT AS j, round(avg((p.v * q.v)::DOUBLE), 4) AS value FROM x p JOIN x q USING (voxel_id) GROUP BY ALL",
     "noise_eigenvalues": f"""WITH {_M3},
@@ -293,4 +379,22 @@ c AS (SELECT least(trunc((value - lo) / 0.5::DOUBLE)::INT, bins - 1) AS bin, cou
 SELECT k.bin::INT AS bin, lo + k.bin * 0.5::DOUBLE AS left_edge, coalesce(n, 0) AS n FROM r, generate_series(0, bins - 1) AS k(bin) LEFT JOIN c ON c.bin = k.bin""",
     "assign_ion_id": "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS ion_id FROM events",
 }
-ORACLE["stream_select_ions"] = ORACLE["select_ions"]
+ORACLE |= {
+    "fit_events_1": _power_sql(len(EVENT_TYPES)),
+    # x' (X'X)^-1 x in closed form for three features
+    "fit_phase3_3": f"""WITH {_M3}, s AS (SELECT sum(a * a)::DOUBLE AS aa, sum(b * b)::DOUBLE AS bb, sum(c * c)::DOUBLE AS cc, sum(a * b)::DOUBLE AS ab, sum(a * c)::DOUBLE AS ac, sum(b * c)::DOUBLE AS bc FROM m),
+i AS (SELECT bb * cc - bc * bc AS xx, aa * cc - ac * ac AS yy, aa * bb - ab * ab AS zz, ac * bc - ab * cc AS xy, ab * bc - ac * bb AS xz, ab * ac - aa * bc AS yz,
+             aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s)
+SELECT voxel_id, a, b, c, round(1e6::DOUBLE * (a * a * xx + b * b * yy + c * c * zz + 2 * (a * b * xy + a * c * xz + b * c * yz)) / det, 3) AS squared_length FROM m, i""",
+    "fit_plain7_3": f"""WITH ions AS (SELECT {_CELL} AS voxel_id, l_linenumber AS k FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7),
+m AS (SELECT voxel_id, k, count(*)::DOUBLE AS n FROM ions GROUP BY ALL), v AS (SELECT count(DISTINCT voxel_id) AS n FROM m),
+e AS (SELECT k, (sum(n * n) / any_value((SELECT n FROM v))) / (sum(n) / any_value((SELECT n FROM v))) AS x FROM m GROUP BY k)
+SELECT c.component::INT AS component, (SELECT n FROM v) AS n, 1e6::DOUBLE AS sum_squares, (SELECT round(sum(x), 6) FROM e) AS eigenvalue_sum FROM range(3) AS c(component)""",
+    "stream_select_ions": ORACLE["select_ions"],
+    "stream_select_ions_inverted": ORACLE["select_ions_inverted"],
+    "ions_round_trip": f"SELECT l_orderkey * 8 + l_linenumber AS ion_id, l_quantity::FLOAT::DOUBLE AS x, l_discount::FLOAT::DOUBLE AS y, l_tax::FLOAT::DOUBLE AS z, {PHASE3} AS ion FROM lineitem",
+    "ion_types_round_trip": "SELECT (row_number() OVER (ORDER BY ion) - 1)::INT AS feature_idx, ion, n FROM (SELECT 't' || l_linenumber AS ion, count(*) AS n FROM lineitem GROUP BY ALL)",
+    "results_round_trip": f"WITH {_M2} SELECT voxel_id, (SELECT count(*) FROM ions WHERE ions.voxel_id = s.voxel_id) AS n, round(score, 6) AS score FROM s WHERE score >= 60",
+    "saved_model": ORACLE["fit_scores_1"],
+    "voxel_ids_wrapped": "SELECT l_orderkey, l_linenumber, CAST(trunc((l_quantity - 0.5) / 5) AS BIGINT) + 4 * CAST(trunc((l_discount + 0.005) / 0.02) AS BIGINT) + 8 * CAST(trunc((l_tax + 0.005) / 0.02) AS BIGINT) AS voxel_id FROM lineitem",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from grainfield.functions.grid import GridSpec, voxel_id
 from grainfield.operators import algebra, report
-from grainfield.operators.model import fit, project
+from grainfield.operators.model import fit, load_model, project
 from grainfield.operators.moments import gram, matrix_of, mean_spectrum, second_moments
 from grainfield.operators.select import select_ions
 from grainfield.operators.voxels import dense_rows, ion_type_counts, nonempty_voxels, voxel_counts, voxelize
@@ -269,3 +269,22 @@ def test_event_grid_has_all_users(spark, tmp_path):
             want[u, {"click": 0, "view": 4}[t]] = want.get((u, {"click": 0, "view": 4}[t]), 0) + 1
     got = explode_grid_q(spark, str(tmp_path)).collect()
     assert {(r["voxel_id"], r["feature_idx"]): r["n"] for r in got} == want and len(got) == len(want)
+
+
+def test_histogram_without_infinities(spark):
+    rows = [(0.0,), (1.0,), (float("inf"),), (float("-inf"),), (float("nan"),), (None,)]
+    got = report.score_histogram(spark.createDataFrame(rows, "v double"), "v", 0.5).orderBy("bin").collect()
+    assert [(r["bin"], r["n"]) for r in got] == [(0, 1), (1, 1)]
+    assert report.score_histogram(spark.createDataFrame(rows[2:], "v double"), "v", 0.5).count() == 0
+    with pytest.raises(ValueError):
+        report.score_histogram(spark.createDataFrame([(0.0,), (1e12,)], "v double"), "v", 0.01)
+
+
+def test_saved_model(spark, tmp_path):
+    m = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate([[9, 1, 0], [8, 2, 1], [1, 7, 0], [0, 9, 2], [1, 1, 8], [2, 0, 6]])], "voxel_id long, x array<double>")
+    for p in (0, 1, 3):
+        one = fit(m, 3, p)
+        one.save(f"{tmp_path}/{p}", spark)
+        two = load_model(spark, f"{tmp_path}/{p}")
+        assert all(np.array_equal(getattr(one, c), getattr(two, c)) for c in ("eigenvalues", "to_scores", "loadings", "mean"))
+        assert (one.n, one.converged, one.steps, one.components) == (two.n, two.converged, two.steps, two.components)
