@@ -55,19 +55,20 @@ class Model:
 
 def _grams(texts: pa.Array, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size: the n-grams as numbers and the text that each is of. ASCII upper case counts as lower case, what is no
-    letter as a space, and n-grams with a space inside are left out; a word has a space before and behind."""
+    letter as a space, and n-grams with a space inside are left out; every word has a space before and behind, also at the ends of a text."""
     data, off = utf8(texts)
-    letters = _LETTER[_LOWER[data]]
-    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(off))
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(off) + 2)
+    letters = np.full(len(row), 32, np.uint8)
+    letters[np.arange(len(data)) + 2 * np.repeat(np.arange(len(texts)), np.diff(off)) + 1] = _LETTER[_LOWER[data]]
     for n in sizes:
-        m = len(data) - n + 1
+        m = len(letters) - n + 1
         if m <= 0:
             continue
         key = np.zeros(m, np.uint64)
         for i in range(n):
             key |= letters[i : m + i].astype(np.uint64) << np.uint64(8 * i)
-        ok = (row[:m] == row[n - 1 :]) & (letters[:m] | letters[n - 1 :] != 32)
-        for i in range(1, n - 1):
+        ok = row[:m] == row[n - 1 :]
+        for i in range(1, n - 1) if n > 2 else range(n - 1, n):
             ok &= letters[i : m + i] != 32
         yield key[ok] | np.uint64(n << 60), row[:m][ok]
 
@@ -158,20 +159,22 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     return names, scores
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score in place of any columns of these names; reads each text once."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two more columns, language and score, of the names given; raises ValueError if docs has one of them. Reads each text once."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    docs = docs.drop("lang_pred", "score")
-    names = docs.columns
+    if taken := set(names) & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(taken)}: give other names")
+    at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: the settings give its slots
+    out = [*docs.columns, *names]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = predict(batch.column(names.index("text")), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
+            langs, scores = predict(batch.column(at), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=out)
 
-    return docs.mapInArrow(label, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(label, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def train_split(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ passes its budget, only that boundary bucket is summed again by finer hash bits,
 threshold a source, and a document is taken if its hash is below it: a filter, without any sort. A larger budget
 has a larger threshold, so the documents of a smaller budget are among those of a larger one.
 
-Nulls and odd cases: a null source is a source of its own, ordered last. A null text has size 0. Rows with
+Nulls and odd cases: a null source is a source of its own, ordered last. A null text has size 0, and like an
+empty one is taken as often as its hash says, never above the most epochs. Rows with
 equal id and text have equal hashes and are taken together. A source without words has target 0, and nothing is
 taken of it. Empty tables give empty results. Other columns pass through; columns named ``_mix_*`` are
 reserved.
@@ -21,8 +22,8 @@ from .common import word_count, written
 
 #: Hash bits of one level, and levels.
 BITS, LEVELS = 12, 3
-#: Most sources whose rows are broadcast to the documents; with more of them the joins are by shuffle.
-SMALL = 100_000
+#: Most bytes of sources' rows (keys and numbers) that are broadcast to the documents; with more of them the joins are by shuffle.
+SMALL = 16 << 20
 
 
 def doc_hash(doc_id: Column, text: Column) -> Column:
@@ -50,7 +51,8 @@ def sized(docs: DataFrame, source: str = "source", text: str = "text", doc_id: s
 def cyclic_weights(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     """Adds _mix_weight: the weights in turn over the sources in code-point order, null last.
 
-    One row a source goes through one task here; documents never do.
+    One row a source, some 100 bytes, goes through one task here and in ``targets``, which sort them: good for some ten million
+    sources. Documents never do.
     """
     w = W.orderBy(F.col("_mix_source").isNull(), F.col("_mix_source"))
     turn = (F.row_number().over(w) - 1) % len(weights)
@@ -117,21 +119,23 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_share: f
     sources = sizes.groupBy("_mix_key").agg(F.first("_mix_source").alias("_mix_source"), F.sum("_mix_size").alias("_mix_source_size"))
     goals = targets(cyclic_weights(sources, weights), budget_share, max_epochs)
     goals = written(goals.select("_mix_key", "_mix_source_size", "_mix_target"), "mix-goals")
-    small = goals.count() <= SMALL
+    small = (goals.agg(F.sum(F.octet_length("_mix_key") + 64).alias("n")).first()["n"] or 0) <= SMALL
     return written(thresholds(sizes, goals, small), "mix-plan"), small
 
 
 def copies() -> Column:
-    """How often a document is taken; needs _mix_hash, _mix_base and _mix_cut."""
+    """How often a document is taken; needs _mix_hash and the columns of ``plan``."""
     below = F.shiftright("_mix_hash", 60 - BITS * LEVELS) < F.coalesce(F.col("_mix_cut"), F.lit(0))
-    return (F.col("_mix_base") + below.cast("long")).cast("long")
+    # a source whose need is a whole number of times its size, or nothing, has no document more
+    more = below & (F.col("_mix_target") > F.col("_mix_base") * F.col("_mix_source_size"))
+    return (F.col("_mix_base") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """The mixed documents: each row of docs as often as it is taken (0 to max_epochs times), with its own columns."""
     own, small = plan(written(sized(docs), "mix-sizes"), weights, budget_share, max_epochs)
     keyed = docs.select("*", source_key(F.col("source")).alias("_mix_key"), doc_hash(F.col("doc_id"), F.col("text")).alias("_mix_hash"))
-    taken = by_source(keyed, own.select("_mix_key", "_mix_base", "_mix_cut"), small).withColumn("_mix_copies", copies()).where("_mix_copies > 0")
+    taken = by_source(keyed, own.select("_mix_key", "_mix_base", "_mix_cut", "_mix_target", "_mix_source_size"), small).withColumn("_mix_copies", copies()).where("_mix_copies > 0")
     return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -124,6 +125,16 @@ def test_mixing(spark, docs, rows):
     assert out.columns == odd(spark).columns and out.where("doc_id = 2").count() in (1, 2)
 
 
+def test_mixing_never_above_the_limit(spark):
+    """Empty and null texts too come twice at most, whatever their hash, where a source's target is a whole number of its sizes."""
+    rows = [(i, ["", None, " "][i % 3] if i % 2 else "w " * (i % 7 + 1), "en", "ab"[i % 2 and i % 4 == 1], 1) for i in range(600)]
+    rows += [(1000 + i, None, "en", "c", 1) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for share, epochs in ((1.5, 2), (2.0, 2), (1.0, 1), (3.0, 3), (9.0, 2)):
+        counts = [r["count"] for r in mixing.mix(df, budget_share=share, max_epochs=epochs).groupBy("doc_id").count().collect()]
+        assert max(counts) <= epochs
+
+
 def near(rows, k):
     """Smallest linked id of every document, by brute force."""
     sets = {}
@@ -351,42 +362,63 @@ def test_best_fit_plan(size):
         assert len(filled) == bins
 
 
-def test_packing(spark, docs, rows):
+def packed_by_hand(rows, got, size):
+    """Holds packed pieces against the unmodified tokenizer and the rules of cutting and placing; rows: (doc_id, text), ids may repeat."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
-    got = collections.defaultdict(list)
-    for r in packing.pack_documents(docs, size=64).collect():
-        got[r["doc_id"]].append(r)
+    want, lengths = collections.Counter(), collections.Counter()
+    for i, text in rows:
+        ids = np.array(tok.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        first = (len(ids) - 1) % size + 1
+        cuts = [(0, first), *((a, size) for a in range(first, len(ids), size))]
+        for k, (start, length) in enumerate(cuts):
+            want[i, k, start, length, zlib.crc32(ids[start : start + length].tobytes())] += 1
+            lengths[length] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     spans = collections.defaultdict(list)
-    for row in rows:
-        ids = np.array(tok.encode(row[1] or "", add_special_tokens=False).ids + [2], "<u4")
-        own = sorted(got[row[0]], key=lambda r: r["piece"])
-        assert [(r["start"], r["length"]) for r in own] == packing.cut_points(len(ids), 64)
-        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
-        for r in own:
-            spans[r["sequence_id"]].append((r["offset"], r["length"]))
+    for r in got:
+        spans[r["sequence_id"]].append((r["offset"], r["length"]))
     for parts in spans.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 64
-    cut = packing.pieces(docs, packing.tokenizer_path(), 64, with_ids=True).cache()
-    whole = packing.sequences(packing.pack(cut, 64)).collect()
-    assert sum(len(r["ids"]) for r in whole) == sum(r["length"] for v in got.values() for r in v)
+        assert at <= size
+    free, bins = [], 0  # best fit decreasing, piece by piece
+    for length in sorted(lengths.elements(), reverse=True):
+        room = min((f for f in free if f >= length), default=None)
+        if room is None:
+            bins, room = bins + 1, size
+        else:
+            free.remove(room)
+        free.append(room - length)
+    assert len(spans) == bins
+
+
+@pytest.mark.parametrize("size", [64, 1024])
+def test_packing(docs, rows, size):
+    got = packing.pack_documents(docs, size=size).collect()
+    packed_by_hand([(r[0], r[1]) for r in rows], got, size)
+    cut = packing.pieces(docs, packing.tokenizer_path(), size, with_ids=True).cache()
+    whole = packing.sequences(packing.pack(cut, size)).collect()
+    assert sum(len(r["ids"]) for r in whole) == sum(r["length"] for r in got)
+
+
+def test_op9_by_hand(spark, sf_dir):
+    """The registered query on its whole table."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    packed_by_hand([tuple(r) for r in rows], packing.op9_packing(spark, sf_dir).collect(), 1024)
 
 
 def test_tokenizer_is_the_same():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
-    enc, rng = packing.byte_bpe(packing.tokenizer_path()), random.Random(2)
+    enc, added, rng = packing.byte_bpe(packing.tokenizer_path()), packing.added_tokens(packing.tokenizer_path()), random.Random(2)
     texts = ["", "<|endoftext|> a", "don't 'S I'll", "a\x1c \x1db", "日本語 ①²½ \U0001f600", "".join(map(chr, range(1, 0x2000)))]
     texts += ["".join(chr(rng.choice([rng.randint(1, 126), rng.randint(1, 0xD7FF), 32, 10])) for _ in range(200)) for _ in range(200)]
-    assert all(tok.encode(t, add_special_tokens=False).ids == enc.encode_to_numpy(t).tolist() for t in texts)
+    assert all(tok.encode(t, add_special_tokens=False).ids == packing.token_ids(enc, t, added).tolist() for t in texts)
 
 
 def test_packing_long_white_space(spark):
@@ -436,6 +468,63 @@ def test_langid_held_out(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_langid_by_hand(spark, sf_dir):
+    """The registered query against sets of n-grams and masks made one by one."""
+    s = langid.Settings()
+    low = (1 << 64) - 1
+
+    def slots(gram):
+        x = int.from_bytes(gram, "little") | len(gram) << 60
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & low
+        x ^= x >> 31
+        return [x >> i * s.bits & (1 << s.bits) - 1 for i in range(s.hashes)]
+
+    def grams(text):
+        letter = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode().translate(LOWER))
+        out = []
+        for word in letter.split(b" "):
+            own = b" " + word + b" " if word else b""
+            out += [own[i : i + n] for n in s.sizes for i in range(len(own) - n + 1)]
+        return out
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None and r["text"] is not None:
+            counts[r["lang"]].update(grams(r["text"]))
+    filters = {}
+    for lang, c in counts.items():
+        total = collections.Counter()
+        for g, n in c.items():
+            total[len(g)] += n
+        filters[lang] = {x for g, n in c.items() if n >= max(2, s.share * total[len(g)]) for x in slots(g)}
+    rate = {lang: (len(f) / (1 << s.bits)) ** s.hashes for lang, f in filters.items()}
+    got = {r["doc_id"]: r for r in langid.op10_langid(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own, text = got[r["doc_id"]], r["text"]
+        assert own["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if text is None or not any(c.isalpha() for c in text):
+            assert (own["lang_pred"], own["score"]) == ("und", 0)
+            continue
+        found = grams(text)
+        places = [slots(g) for g in found]
+        true = {lang: max(0, sum(all(x in f for x in p) for p in places) - len(found) * rate[lang]) / (1 - rate[lang]) for lang, f in filters.items()}
+        best = max(sorted(true), key=lambda k: true[k])
+        assert own["lang_pred"] == best or true[own["lang_pred"]] == pytest.approx(true[best], rel=1e-12)
+        assert own["score"] == pytest.approx(true[best] / max(sum(true.values()), 1e-300))
+
+
+def test_langid_shortest_words(spark):
+    """A text of one word of two letters has n-grams: those with the spaces around it."""
+    rows = [(i, t, lang, "s", 1) for i, (t, lang) in enumerate([("zu zu zu ab", "de"), ("of of of by", "en")] * 3)]
+    model = langid.train(spark.createDataFrame(rows, SCHEMA))
+    asked = spark.createDataFrame([(0, "of", None, None, 1), (1, "zu", None, None, 1), (2, "ZU!", None, None, 1)], SCHEMA)
+    got = {r["doc_id"]: r for r in langid.identify(asked, model).collect()}
+    assert [got[i]["lang_pred"] for i in range(3)] == ["en", "de", "de"] and all(r["score"] > 0.9 for r in got.values())
+
+
 def test_langid_many_languages(spark):
     """More languages than one 64-bit slot holds."""
     rng = random.Random(4)
@@ -454,36 +543,71 @@ def test_langid_many_languages(spark):
 def test_langid_odd_rows(spark):
     df = odd(spark).union(spark.createDataFrame([(9, "123 !?", "en", "s", 1), (10, "", "en", "s", 1), (11, "日本", "en", "s", 1), (12, "hello there hello there", "en", "s", 1)], SCHEMA).select("*", *[F.lit("x").alias(c) for c in odd(spark).columns[5:]]))
     model = langid.train(df.select("doc_id", "text", "lang"))
-    got = {r["doc_id"]: r for r in langid.identify(df, model).collect()}
+    with pytest.raises(ValueError):
+        langid.identify(df, model)
+    names = ("_a", "_b")
+    got = {r["doc_id"]: {"lang_pred": r["_a"], "score": r["_b"]} for r in langid.identify(df, model, names).collect()}
     assert got[9]["lang_pred"] == got[10]["lang_pred"] == "und" and got[11]["lang_pred"] != "und"
     blank = langid.train(empty(spark))
-    assert {r["lang_pred"] for r in langid.identify(df, blank).collect()} == {"und"}
+    assert {r["_a"] for r in langid.identify(df, blank, names).collect()} == {"und"}
     assert langid.identify(empty(spark), model).count() == 0
 
 
-def test_pipeline_stages(spark, docs, rows, tmp_path):
-    frame, columns = docs, docs.columns
+CLASHING = ("score", "lang_pred", "kept", "piece", "length", "component_id", "n_words", "offset", "rank", "_c0")
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_pipeline_stages(spark, docs, rows, tmp_path, clash):
+    """Every stage against brute force on what its predecessor kept; columns of any name come through untouched."""
+    frame = docs
+    for name in CLASHING if clash else ():
+        frame = frame.withColumn(name, F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")))
+    columns = frame.columns
     state = {r[0]: r for r in rows}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, frame, str(tmp_path))
         out.write.parquet(f"{tmp_path}/{name}")
         before, frame = frame, spark.read.parquet(f"{tmp_path}/{name}")
+        had = [tuple(r)[:5] for r in before.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", ")).collect()]
         now = {r["doc_id"]: r for r in frame.collect()}
         if name == "language_id":
             assert set(now) == {i for i, r in state.items() if r[1] and any(c.isalpha() for c in r[1])}
         if name == "near_duplicates":
-            _, want = near([tuple(r) for r in before.collect()], 5)
+            _, want = near(had, 5)
             assert set(now) == set(want.values())
         if name == "repeated_passages":
-            want = repeats([tuple(r) for r in before.collect()], 50)
+            want = repeats(had, 50)
             assert {i: words_of(r["text"]) for i, r in now.items()} == {i: w[2] for i, w in want.items()}
         if name == "source_mix":
             counts = collections.Counter(r["doc_id"] for r in frame.collect())
-            assert max(counts.values()) <= 2 and set(counts) <= {r["doc_id"] for r in before.collect()}
+            assert max(counts.values()) <= 2 and set(counts) <= {r[0] for r in had}
+            sizes = collections.Counter()
+            for r in had:
+                sizes[r[3]] += len(words_of(r[1]))
+            order = [*sorted(k for k in sizes if k is not None), *([None] if None in sizes else [])]
+            goal, left, weight = {}, 1.5 * sum(sizes.values()), {k: (3, 1, 2)[i % 3] for i, k in enumerate(order)}
+            while True:  # what is above a source's bound is shared again by weight
+                free = [k for k in order if k not in goal]
+                full = [k for k in free if left * weight[k] / sum(weight[x] for x in free) >= 2 * sizes[k]]
+                goal |= {k: 2 * sizes[k] for k in full} if full else {k: left * weight[k] / sum(weight[x] for x in free) for k in free}
+                left -= sum(2 * sizes[k] for k in full)
+                if not full or len(goal) == len(order):
+                    break
+            for k in order:
+                took = sum(counts[r[0]] * len(words_of(r[1])) for r in had if r[3] == k)
+                assert abs(took - goal[k]) <= max(len(words_of(r[1])) for r in had if r[3] == k)
         if name == "packed":
-            assert frame.where("piece = 0").count() == before.count()
+            packed_by_hand([(r[0], r[1]) for r in had], frame.collect(), 1024)
         else:
             assert frame.columns == columns
+            assert not clash or all(r[c] == f"{c} {i}" for i, r in now.items() for c in CLASHING)
+
+
+def test_pipeline_leaves_no_scratch(spark, sf_dir):
+    """Only the tables of the stages themselves, and of the last stage, are left in the shared folder."""
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not [x for x in os.listdir(base) if "-scratch-" in x]
 
 
 def test_oracles_of_documents(spark, sf_dir):
