@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfield.llm import langid, minhash, mixing, packing, substring
-from grainfield.llm.common import written
+from grainfield.llm.common import scratch_folder, scratch_path, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter."""
     model = langid.train(langid.train_split(docs))
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    told = langid.identify(docs, model, ("_lang_pred", "_lang_score"))
+    return told.where(F.col("_lang_pred") != langid.UNKNOWN).drop("_lang_pred", "_lang_score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch_folder(spark, f"{name}-scratch"):  # what a stage writes on its way goes when its result is written
+            docs = stored(stage(spark, docs, sf_dir), path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
