@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, scratch_path, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,22 +14,31 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges: long columns u and v, in either order; repeated edges and loops do no harm. Every round hangs each
     node's larger neighbours, then its smaller ones, on its smallest neighbour; rounds grow with the logarithm of the
-    longest path. A node's neighbours are never gathered: both steps are a minimum by key and a join, whose skewed
-    partitions Spark splits. Each round is a written table.
+    longest path. A node's neighbours are never gathered: both steps are a minimum by key and a join. The minima are
+    written before they are joined, since Spark splits the partition of a hub only where both sides of a join come straight from a
+    shuffle. A round's tables go when the next one's are written.
     """
+    spark = edges.sparkSession
+
+    def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, f"cc-{name}")
+        return stored(df, path), path
+
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = written(e, "cc-edges")
+    e, path = table(e, "edges")
     state = _state(e)
     for _ in range(max_rounds):
         if not state[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
+        low, path_low = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large, path_large = table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        near, path_near = table(large.groupBy("u").agg(F.min("v").alias("m")), "near")
         moved = large.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(near.select("u", F.col("m").alias("v")).union(moved).distinct(), "cc-edges")
-        now = _state(e)
+        e, new = table(near.select("u", F.col("m").alias("v")).union(moved).distinct(), "edges")
+        for old in (path, path_low, path_large, path_near):
+            remove(spark, old)
+        path, now = new, _state(e)
         if now == state:
             break
         state = now

@@ -6,15 +6,17 @@ shingles, so that no coordinate stays empty, and coordinates agree with probabil
 concentrated as if they were independent. Most documents are full after a few rounds, so a sketch takes far
 less than t passes over the set.
 
-Documents with equal sets are one class and stand for each other. Bands of coordinates give buckets of sets; sets that
-share a bucket, directly or over others, are a candidate group. All pairs of a group are confirmed on the full sets, in
-pairs of tiles of bounded size whose set sizes allow a link; a tile pair computes exact intersections as one product
-and gives a spanning forest of its links. So no pairs are rows, and a large group is the work of many tasks.
+Documents with equal sets are one class and stand for each other. Bands of coordinates give buckets of classes. Every pair that shares
+a bucket is decided on the full sets, in two steps. First each class is compared with the smallest class of one of its buckets, that
+with which it shares most bands: so copies of one text become one component by as many comparisons as there are copies. Then
+only buckets that still hold several components are left, and all their pairs whose sizes allow a link are compared, in pairs of tiles:
+a tile pair computes exact intersections as one product and gives a spanning forest of its links. Tiles and the parts of a star
+are bounded by the shingles in them, no pairs are rows, and a large bucket is the work of many tasks.
 
 Nulls and odd cases: null texts and texts without words have an empty set, are linked with nothing and are
 kept. A text of fewer words than a shingle is one shingle. A null id is linked with nothing, has a null component
-and is kept. Rows that share an id count as one document that has each of the texts. Empty tables give empty
-results. Other columns pass through ``dedup``; ``_mh_*`` is reserved.
+and is kept. Rows that share an id count as one document that has each of the texts; ``dedup`` judges each such row by its own
+text, and keeps one of repeated rows. Empty tables give empty results. Other columns pass through ``dedup``; ``_mh_*`` is reserved.
 """
 
 from __future__ import annotations
@@ -24,11 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, hash_parts, mix64, pack, steps, unpack, written
+from .common import Words, mix64, steps, written
 from .components import connected_components, join_roots
 
 
@@ -97,17 +98,26 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def sizes_table(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n_shingles, fp1, fp2): size and 128-bit fingerprint of each set."""
+def sketched(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, fp1, fp2, keys): size, 128-bit fingerprint and band hashes of each set; no bands without a shingle or an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in steps(batch.column(1)):
+            for first, part in steps(batch.column(2)):
                 flat, off = shingle_sets(part, s.words)
-                fp = _fingerprints(flat, off).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(np.diff(off)), pa.array(fp[0]), pa.array(fp[1])], names=["doc_id", "n_shingles", "fp1", "fp2"])
+                size, fp = np.diff(off), _fingerprints(flat, off)
+                ids = batch.column(0).slice(first, len(part))
+                some = (size > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+                _, one, same = np.unique(fp[0], return_index=True, return_inverse=True)
+                own = np.concatenate([flat[off[i] : off[i + 1]] for i in one] or [flat])
+                bands = band_keys(sketches(own, np.concatenate([[0], np.cumsum(size[one])]), s.bands * s.rows), s.bands, s.rows)[same]
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * s.bands)]).astype(np.int32)), pa.array(bands[some].ravel().view(np.int64)))
+                fp = fp.view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(first, len(part)), pa.array(size), pa.array(fp[0]), pa.array(fp[1]), keys], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long")
+    names = ["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "keys"]
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, keys array<long>")
 
 
 def _fingerprints(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -117,48 +127,31 @@ def _fingerprints(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     return sums[:, off[1:]] - sums[:, off[:-1]]
 
 
-def _band_blobs(docs: DataFrame, s: Settings, n: int) -> DataFrame:
-    """(p, keys, sets): band hashes of partition p with the first fingerprint halves of their sets, packed."""
+def _star(percent: int):
+    """Links of sets to the set of their star, by exact intersections."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, part in steps(batch.column(0)):
-                flat, off = shingle_sets(part, s.words)
-                fp, first = np.unique(_fingerprints(flat, off)[0], return_index=True)
-                keep = np.diff(off)[first] > 0
-                fp, first = fp[keep], first[keep]
-                if not len(fp):
-                    continue
-                own = np.concatenate([flat[off[i] : off[i + 1]] for i in first])
-                sizes = np.diff(off)[first]
-                keys = band_keys(sketches(own, np.concatenate([[0], np.cumsum(sizes)]), s.bands * s.rows), s.bands, s.rows).ravel()
-                order = np.argsort(keys)
-                keys, sets = keys[order], np.repeat(fp, s.bands)[order]
-                at = np.searchsorted(hash_parts(keys, n), np.arange(n + 1))
-                rows = [(p, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(sets[a:b])) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["p", "keys", "sets"])
-
-    return docs.where("doc_id is not null").select(F.col("text").cast("string")).mapInArrow(run, "p int, keys binary, sets binary")
-
-
-def _candidates(table: pa.Table) -> pa.Table:
-    """Edges from each set to the smallest of its bucket."""
-    keys = np.concatenate([np.cumsum(unpack(x.as_py(), np.uint64)) for x in table.column("keys")])
-    sets = np.concatenate([unpack(x.as_py()) for x in table.column("sets")])
-    order = np.lexsort((sets, keys))
-    keys, sets = keys[order], sets[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    hub = sets[np.flatnonzero(first)][np.cumsum(first) - 1]
-    edges = np.unique(np.stack([hub, sets], 1)[hub != sets], axis=0)
-    return pa.table({"u": edges[:, 0], "v": edges[:, 1]})
+    def run(table: pa.Table) -> pa.Table:
+        hub, ids = table.column("hub")[0].as_py(), table.column("fp1").to_numpy()
+        hashes = table.column("hashes").combine_chunks()
+        size = np.asarray(hashes.value_lengths(), np.int64)
+        off, flat = np.concatenate([[0], np.cumsum(size)]), np.asarray(hashes.flatten()).view(np.uint64)
+        row, found = np.repeat(np.arange(len(ids)), size), np.zeros(len(ids), bool)
+        for c in np.flatnonzero(ids == hub):  # one, unless two sets have one fingerprint half
+            own = flat[off[c] : off[c + 1]]
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            common = np.bincount(row[own[place] == flat], minlength=len(ids))
+            found |= 100 * common >= percent * (size + size[c] - common)
+        found &= ids != hub
+        return pa.table({"u": pa.array(ids[found]), "v": pa.array(np.full(found.sum(), hub, np.int64))})
+
+    return run
 
 
 def _verified(percent: int):
     """A spanning forest of the links between the sets of two tiles (or of one), by exact intersections."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("rep").to_numpy()
+        ids = table.column("fp1").to_numpy()
         same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
         side = np.ones(len(ids), bool) if same else table.column("tile").to_numpy() == table.column("lo")[0].as_py()
         first, second = np.flatnonzero(side), np.arange(len(ids)) if same else np.flatnonzero(~side)
@@ -185,72 +178,145 @@ def _verified(percent: int):
     return run
 
 
-#: Sets of a tile, and the width of a class of sizes in a group of several tiles (natural logarithm).
-TILE, WIDTH = 512, 0.1
+#: Most sets of a tile; shingles of a tile or of a part of a star, on average; width of a class of sizes in a bucket of several tiles (natural logarithm).
+TILE, SHINGLES, WIDTH = 512, 1 << 18, 0.1
+
+
+def _parts(n: str) -> Column:
+    """Tiles for the sets of a group, by their number and their shingles."""
+    return F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(n) / SHINGLES)).cast("int")
 
 
 def _dealt(members: DataFrame, s: Settings) -> DataFrame:
-    """(rep, g, tile, lo, hi): every member of a candidate group for each pair of tiles that it has part in.
+    """(g, lo, hi, tile, fp1): every member of a bucket g for each pair of tiles that it has part in.
 
-    A group of up to TILE sets is one tile. In a larger one tiles hold sets of about one size, and only tiles whose sizes
-    allow the similarity are paired.
+    A small bucket is one tile. In a larger one tiles hold sets of about one size, and only tiles whose sizes allow the similarity are paired.
     """
-    groups = members.groupBy("g").agg(F.count("*").alias("m"))
-    counted = members.join(groups, "g").withColumn("cls", F.when(F.col("m") > TILE, F.floor(F.log("n") / WIDTH)).otherwise(0).cast("long"))
-    parts = counted.groupBy("g", "cls").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    own = counted.join(parts, ["g", "cls"]).select("rep", "g", (F.col("cls") * (1 << 24) + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("tile"))
+    groups = members.groupBy("g").agg((_parts("n") > 1).alias("large"))
+    counted = written(members.join(groups, "g").withColumn("cls", F.when(F.col("large"), F.floor(F.log("n") / WIDTH)).otherwise(0).cast("long")), "mh-counted")
+    parts = written(counted.groupBy("g", "cls").agg(_parts("n").alias("parts")), "mh-parts")
+    own = counted.join(parts, ["g", "cls"]).select("fp1", "g", (F.col("cls") * (1 << 24) + F.pmod(F.xxhash64("fp1"), F.col("parts"))).alias("tile"))
     tiles = parts.select("g", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("g", "cls", (F.col("cls") * (1 << 24) + F.col("k")).alias("tile"))
     reach = int(np.log(100 / s.percent) / WIDTH) + 1
-    other = tiles.select("g", F.col("cls").alias("cls2"), F.col("tile").alias("hi"))
-    pairs = tiles.withColumnRenamed("tile", "lo").join(other, "g").where((F.col("lo") <= F.col("hi")) & (F.col("cls2") - F.col("cls") <= reach)).select("g", "lo", "hi")
+    # each tile meets the tiles of its own and the next classes, by an equal join for each step
+    near = tiles.select("g", F.col("tile").alias("lo"), F.explode(F.sequence(F.col("cls"), F.col("cls") + reach)).alias("cls"))
+    pairs = written(near.join(tiles.withColumnRenamed("tile", "hi"), ["g", "cls"]).where("lo <= hi").select("g", "lo", "hi"), "mh-pairs")
     left = own.join(pairs.withColumn("tile", F.col("lo")), ["g", "tile"])
     right = own.join(pairs.where("lo < hi").withColumn("tile", F.col("hi")), ["g", "tile"])
-    return left.unionByName(right)
+    return left.unionByName(right).select("g", "lo", "hi", "tile", "fp1")
 
 
-def _links(docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
-    """(u, v): a spanning forest of the confirmed links in each pair of tiles."""
+def _sets(docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
+    """(fp1, hashes): the sets of the members (rep, fp1, fp2), made from the text of the document rep that has these fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in steps(batch.column(4)):
+            for first, part in steps(batch.column(0)):
                 flat, off = shingle_sets(part, s.words)
+                fp, want = _fingerprints(flat, off).view(np.int64), [batch.column(i).slice(first, len(part)).to_numpy() for i in (1, 2)]
                 hashes = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(part)) for c in batch.columns[:4]), hashes, batch.column(5).slice(first, len(part))], names=["g", "lo", "hi", "tile", "hashes", "rep"])
+                right = pa.array((fp[0] == want[0]) & (fp[1] == want[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(part)), hashes], names=["fp1", "hashes"]).filter(right)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    own = texts.join(_dealt(members, s), "rep").select("g", "lo", "hi", "tile", "text", "rep")
-    return own.mapInArrow(run, "g long, lo long, hi long, tile long, hashes array<long>, rep long").groupBy("g", "lo", "hi").applyInArrow(_verified(s.percent), "u long, v long")
+    made = written(texts.join(members, "rep").select("text", "fp1", "fp2").mapInArrow(run, "fp1 long, hashes array<long>"), "mh-sets")
+    if made.count() > members.count():  # repeated rows
+        made = written(made.dropDuplicates(["fp1", "hashes"]), "mh-sets")
+    return made
+
+
+def _linked(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): edges between classes, by fp1, that connect what links of pairs sharing a bucket connect."""
+    bands = classes.select("fp1", F.explode("keys").alias("key"))
+    hubs = written(bands.groupBy("key").agg(F.min("fp1").alias("hub"), F.max("fp1").alias("_mh_last")).where("hub < _mh_last").select("key", "hub"), "mh-hubs")
+    entries = written(bands.join(hubs, "key").distinct(), "mh-entries")
+    members = classes.drop("keys").join(entries.select("fp1").distinct(), "fp1", "left_semi")
+    members = written(members, "mh-members")
+    sets = _sets(docs, members.select("rep", "fp1", "fp2"), s)
+
+    # each class against the hub with which it shares most bands
+    shared = entries.where("fp1 <> hub").groupBy("fp1", "hub").agg(F.count("*").alias("times"))
+    best = shared.groupBy("fp1").agg(F.max(F.struct("times", "hub"))["hub"].alias("hub"))
+    best = written(best.join(members.select("fp1", "n"), "fp1"), "mh-best")
+    stars = written(best.groupBy("hub").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("parts")), "mh-stars")
+    rays = best.join(stars, "hub").select("fp1", "hub", F.pmod(F.xxhash64("fp1"), F.col("parts")).alias("part"))
+    hearts = stars.select(F.col("hub").alias("fp1"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    work = rays.unionByName(hearts).join(sets, "fp1")
+    links = written(work.groupBy("hub", "part").applyInArrow(_star(s.percent), "u long, v long"), "mh-star-links")
+    found = written(connected_components(links), "mh-found")
+
+    # buckets that still hold several components, one of those with the same members
+    label = entries.join(found.withColumnRenamed("node", "fp1"), "fp1", "left").select("key", "fp1", F.coalesce("component", "fp1").alias("component"))
+    marks = [F.bit_xor(F.xxhash64("fp1", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
+    open_ = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m0"), *marks).where("a < b")
+    open_ = written(open_.groupBy("m0", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "mh-open")
+    left = entries.select("key", "fp1").join(open_, "key").join(members.select("fp1", "n"), "fp1").select("fp1", "n", F.col("key").alias("g"))
+    pairs = _dealt(written(left, "mh-left"), s).join(sets, "fp1")
+    more = pairs.groupBy("g", "lo", "hi").applyInArrow(_verified(s.percent), "u long, v long")
+    return written(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "mh-links")
+
+
+def _classes(table: DataFrame) -> DataFrame:
+    real = table.where("n_shingles > 0 and doc_id is not null")
+    return written(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "mh-classes")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
-    s, spark = settings, docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = written(sizes_table(docs, s), "mh-sizes")
-    real = table.where("n_shingles > 0 and doc_id is not null")
-    classes = written(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "mh-classes")
-    candidates = _band_blobs(docs, s, n).groupBy("p").applyInArrow(_candidates, "u long, v long")
-    groups = connected_components(candidates)
-    members = written(classes.join(groups.select(F.col("node").alias("fp1"), F.col("component").alias("g")), "fp1").select("rep", "n", "g"), "mh-members")
-    found = connected_components(_links(docs, members, s))
-    label = classes.select("fp1", "fp2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
-    out = table.join(label, ["fp1", "fp2"], "left")
+    table = written(sketched(docs, settings), "mh-sketched").drop("text_hash")
+    classes = _classes(table)
+    links = _linked(docs, classes, settings)
+    # the texts of an id are one document
+    one = table.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("fp1").alias("u"), F.max("fp1").alias("w")).where("u < w")
+    rest = table.where("n_shingles > 0").join(one.select("doc_id", "u"), "doc_id").select("u", F.col("fp1").alias("v"))
+    found = connected_components(links.union(rest))
+    label = classes.select("fp1", "fp2", "rep").join(found.withColumnRenamed("node", "fp1"), "fp1", "left")
+    label = written(label.select("fp1", "fp2", "rep", F.coalesce("component", "fp1").alias("c")), "mh-labels")
+    smallest = written(label.groupBy("c").agg(F.min("rep").alias("component")), "mh-smallest")
+    label = written(label.join(smallest, "c").select("fp1", "fp2", "component"), "mh-labels")
+    out = table.drop("keys").join(label, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs that stay: one of each group of near-duplicates, that with the smallest id, and one of rows that share an id."""
-    kept = near_duplicates(docs, settings).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_mh_rows"))
-    rows = docs.join(kept.select(F.col("doc_id").alias("_mh_id"), "_mh_rows"), F.col("doc_id").cast("long") == F.col("_mh_id"))
-    once = rows.where("_mh_rows = 1")
-    again = rows.where("_mh_rows > 1").withColumn("_mh_nth", F.row_number().over(W.partitionBy("_mh_id").orderBy("text"))).where("_mh_nth = 1")
+    """The rows of docs that stay: of each group of near-duplicates one with the smallest id, one of repeated rows, and all without a set or an id."""
+    table = written(sketched(docs, settings), "mh-sketched")
+    classes = _classes(table)
+    found = connected_components(_linked(docs, classes, settings))
+    label = classes.select("fp1", "fp2", "rep").join(found.withColumnRenamed("node", "fp1"), "fp1", "left")
+    # the class that stays has the smallest document of its component; of several such, the smallest fingerprint
+    best = label.groupBy(F.coalesce("component", "fp1")).agg(F.min(F.struct("rep", "fp1", "fp2")).alias("b")).select("b.*")
+    best = written(best, "mh-best")
+    own = table.where("doc_id is not null").select("doc_id", "text_hash", "n_shingles", "fp1", "fp2")
+    stays = own.where("n_shingles > 0").join(best.withColumnRenamed("rep", "doc_id"), ["doc_id", "fp1", "fp2"], "left_semi").unionByName(own.where("n_shingles = 0"), allowMissingColumns=True)
+    stays = stays.groupBy("doc_id", "fp1", "fp2").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("rows"))
+    stays = written(stays.select(F.col("doc_id").alias("_mh_id"), F.col("text_hash").alias("_mh_text"), F.col("rows").alias("_mh_rows")), "mh-stays")
+    rows = docs.withColumn("_mh_own", F.xxhash64(F.col("text").cast("string"))).join(stays, (F.col("doc_id").cast("long") == F.col("_mh_id")) & (F.col("_mh_own") == F.col("_mh_text")))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return once.select(*names).union(again.select(*names)).union(docs.where("doc_id is null").select(*names))
+    once = rows.where("_mh_rows = 1")
+    # of repeated rows any one: the others differ in other columns at most
+    whole = F.struct(*names)
+    again = rows.where("_mh_rows > 1").groupBy("_mh_id", "_mh_text").agg(F.first(whole).alias("_mh_row")).select(*[F.col("_mh_row").getField(c).alias(c) for c in docs.columns])
+    return once.select(*names).union(again).union(docs.where("doc_id is null").select(*names))
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by two-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Settings(words=2))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM s),
+l AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+p AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT u, v FROM p UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u),
+c AS (SELECT u AS doc_id, min(v) AS m FROM r GROUP BY u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id))::BIGINT AS component_id, doc_id <= coalesce(m, doc_id) AS kept FROM s LEFT JOIN c USING (doc_id)
+"""

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Groups into which the pieces of a length are dealt to be ranked, so that no length is one task's work.
-SALTS = 64
+#: Pieces of a length are dealt to be ranked into so many groups at least, and into as many as keep a group to so many pieces on average.
+SALTS, GROUP = 64, 1 << 18
 #: White-space characters from which on a run is cut out before the split pattern, which fails on a million of them.
 RUN = 100_000
 #: Such a run up to its last character if more text follows, all of it at the end. Python alone counts \x1c to \x1f as white space.
@@ -166,14 +166,15 @@ def pack(cut: DataFrame, size: int = 1024) -> DataFrame:
 
     Only the histogram (at most ``size`` rows) and the plan made from it pass through the driver.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)).cast("int")
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    if any(n is None or not 1 <= n <= size for n in counts):
+        raise ValueError(f"lengths must be from 1 to {size}")
+    salts = max(SALTS, -(-max(counts.values(), default=0) // GROUP))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int")
     dealt = cut.withColumn("_pack_salt", salt)
     groups = dealt.groupBy("length", "_pack_salt").agg(F.count("*").alias("_pack_n"))
     before = W.partitionBy("length").orderBy("_pack_salt").rowsBetween(W.unboundedPreceding, -1)
     groups = written(groups.withColumn("_pack_before", F.coalesce(F.sum("_pack_n").over(before), F.lit(0))), "pack-groups")
-    counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("_pack_n").alias("n")).collect()}
-    if any(not 1 <= n <= size for n in counts):
-        raise ValueError(f"lengths must be from 1 to {size}")
     slots = best_fit(counts, size)
     own = F.row_number().over(W.partitionBy("length", "_pack_salt").orderBy("doc_id", "piece")) - 1
     ranked = dealt.withColumn("_pack_rank", own).join(groups.drop("_pack_n"), ["length", "_pack_salt"])

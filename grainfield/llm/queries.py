@@ -18,6 +18,8 @@ ORACLE = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_topk": knn.ORACLE_SQL,
     "op3_chat": chat.ORACLE_SQL,
+    "op4_substring": substring.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
     "op7_embedding_dedup": embed_dedup.ORACLE_SQL,
+    "op8_minhash": minhash.ORACLE_SQL,
 }

@@ -245,3 +245,14 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 def op4_substring(spark, sf_dir: str) -> DataFrame:
     """Words of every document that are left when repeated runs of 50 words go."""
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT m, min(doc_id) AS source FROM g GROUP BY m),
+b AS (SELECT g.doc_id, list(DISTINCT p) AS starts FROM g JOIN f USING (m) WHERE source < doc_id GROUP BY g.doc_id),
+c AS (SELECT b.doc_id, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 50)))) AS gone FROM b),
+k AS (SELECT d.doc_id, d.w, c.gone, [x FOR x, i IN d.w IF gone IS NULL OR NOT list_contains(gone, i)] AS kept FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""

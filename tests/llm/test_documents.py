@@ -156,8 +156,10 @@ def test_minhash(docs, rows, k):
     assert len({*want.values()}) < len(want) - 5
 
 
-def test_minhash_in_many_tiles(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(minhash, "TILE", 3)
+@pytest.mark.parametrize("more", [{"TILE": 3}, {"SHINGLES": 200}, {"TILE": 2, "SHINGLES": 50}])
+def test_minhash_in_many_tiles(spark, docs, rows, monkeypatch, more):
+    for name, value in more.items():
+        monkeypatch.setattr(minhash, name, value)
     _, want = near(rows, 2)
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, minhash.Settings(words=2)).collect()} == want
 
@@ -168,7 +170,12 @@ def test_minhash_odd_rows(spark):
     assert all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)
     left = minhash.dedup(odd(spark))
     assert left.columns == odd(spark).columns
-    assert sorted((r["doc_id"] for r in left.collect()), key=str) == [1, 2, None, None]
+    # of id 1 the text that others copy and the other one, each once; id 3 is a copy
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"] is not None)) == [(1, "a b c"), (1, "x y"), (2, "w " * 3000)]
+    assert left.where("doc_id is null").count() == 2
+    shared = [(1, "p q r s t u v"), (5, "p q r s t u v"), (5, "its own words here they are"), (5, "its own words here they are"), (6, "p q r s t u v"), (7, ""), (7, None), (7, "")]
+    kept = minhash.dedup(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in shared], SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept)[:2] == [(1, "p q r s t u v"), (5, "its own words here they are")] and {r["doc_id"] for r in kept} == {1, 5, 7}
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
@@ -610,9 +617,10 @@ def test_pipeline_leaves_no_scratch(spark, sf_dir):
     assert not [x for x in os.listdir(base) if "-scratch-" in x]
 
 
-def test_oracles_of_documents(spark, sf_dir):
+@pytest.mark.parametrize("name", ["op1_mixing", "op4_substring", "op8_minhash"])
+def test_oracles_of_documents(spark, sf_dir, name):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
-    got = queries.QUERIES["op1_mixing"](spark, sf_dir)
+    got = queries.QUERIES[name](spark, sf_dir)
     cols = sorted(got.columns)
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(con.execute(f"select {', '.join(cols)} from ({queries.ORACLE['op1_mixing']})").fetchall())
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(con.execute(f"select {', '.join(cols)} from ({queries.ORACLE[name]})").fetchall())
