@@ -9,8 +9,8 @@ less than t passes over the set.
 Documents with equal sets are one class and stand for each other. Bands of coordinates give buckets of classes. Every pair that shares
 a bucket is decided on the full sets, in two steps. First each class is compared with the smallest class of one of its buckets, that
 with which it shares most bands: so copies of one text become one component by as many comparisons as there are copies. Then
-only buckets that still hold several components are left, and all their pairs whose sizes allow a link are compared, in pairs of tiles:
-a tile pair computes exact intersections as one product and gives a spanning forest of its links. Tiles and the parts of a star
+only buckets that still hold several components are left (those that overlap are taken together where that moves less), and all their
+pairs whose sizes allow a link are compared, in pairs of tiles: a tile pair computes exact intersections as one product and gives a spanning forest of its links. Tiles and the parts of a star
 are bounded by the shingles in them, no pairs are rows, and a large bucket is the work of many tasks.
 
 Nulls and odd cases: null texts and texts without words have an empty set, are linked with nothing and are
@@ -192,7 +192,7 @@ def _dealt(members: DataFrame, s: Settings) -> DataFrame:
 
     A small bucket is one tile. In a larger one tiles hold sets of about one size, and only tiles whose sizes allow the similarity are paired.
     """
-    groups = members.groupBy("g").agg((_parts("n") > 1).alias("large"))
+    groups = written(members.groupBy("g").agg((_parts("n") > 1).alias("large")), "mh-large")
     counted = written(members.join(groups, "g").withColumn("cls", F.when(F.col("large"), F.floor(F.log("n") / WIDTH)).otherwise(0).cast("long")), "mh-counted")
     parts = written(counted.groupBy("g", "cls").agg(_parts("n").alias("parts")), "mh-parts")
     own = counted.join(parts, ["g", "cls"]).select("fp1", "g", (F.col("cls") * (1 << 24) + F.pmod(F.xxhash64("fp1"), F.col("parts"))).alias("tile"))
@@ -250,12 +250,26 @@ def _linked(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     marks = [F.bit_xor(F.xxhash64("fp1", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
     open_ = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m0"), *marks).where("a < b")
     open_ = written(open_.groupBy("m0", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "mh-open")
-    left = entries.select("key", "fp1").join(open_, "key").join(members.select("fp1", "n"), "fp1").select("fp1", "n", F.col("key").alias("g"))
-    pairs = _dealt(written(left, "mh-left"), s).join(sets, "fp1")
+    left = written(entries.join(open_, "key").join(members.select("fp1", "n"), "fp1").select("fp1", "n", "key", "hub"), "mh-left")
+    pairs = _dealt(_cheapest(left), s).join(sets, "fp1")
     more = pairs.groupBy("g", "lo", "hi").applyInArrow(_verified(s.percent), "u long, v long")
     return written(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "mh-links")
 
 
+def _cheapest(left: DataFrame) -> DataFrame:
+    """(fp1, n, g): groups whose pairs are all compared, from rows (fp1, n, key, hub) of buckets.
+
+    Buckets that overlap, directly or over others, are one group where that moves fewer shingles: a set is in it once, and goes to as
+    many tile pairs as the group has tiles. A chain of buckets too long for that stays in its buckets.
+    """
+    chains = connected_components(left.select(F.col("fp1").alias("u"), F.col("hub").alias("v")))
+    placed = written(left.join(chains.select(F.col("node").alias("fp1"), F.col("component").alias("chain")), "fp1"), "mh-placed")
+    once = placed.groupBy("chain", "fp1").agg(F.first("n").alias("n"), F.sum("n").alias("apart"))
+    costs = once.groupBy("chain").agg((F.sum("n") * _parts("n") <= F.sum("apart")).alias("whole"))
+    chosen = written(placed.join(written(costs, "mh-costs"), "chain"), "mh-chosen")
+    return written(chosen.select("fp1", "n", F.when(F.col("whole"), F.col("chain")).otherwise(F.xxhash64("key", "chain")).alias("g")).distinct(), "mh-groups")
+
+
 def _classes(table: DataFrame) -> DataFrame:
     real = table.where("n_shingles > 0 and doc_id is not null")
     return written(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "mh-classes")
