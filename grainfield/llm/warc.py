@@ -11,8 +11,7 @@ the first in the input's order) is the response, the others revisit it.
 
 Nulls and odd cases: a null html is an empty payload; null urls and ids are left out of the records and are null when
 read back; line ends in a url become %0D and %0A. Repeated rows are captures of their own. An archive that ends inside a record, or a record without a
-valid length, raises ValueError. Empty tables give empty archives and results. Rows of the input must come in the same
-order when read twice, as those of files and written tables do. Other columns are not read.
+valid length, raises ValueError. Empty tables give empty archives and results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,17 +44,22 @@ def _record(kind: Column, headers: dict[str, Column], block: Column) -> Column:
     return F.concat(F.concat_ws(EOL, F.lit(VERSION), *lines, length), F.lit(EOL + EOL), block)  # null headers are left out
 
 
-def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", smallest: int = 100) -> DataFrame:
-    """(value) three records for each row of pages (page_id, url, html); see the module for which are revisits."""
+def captures(pages: DataFrame, smallest: int = 100) -> DataFrame:
+    """(page_id, url, html, uid, digest) of each row of pages (page_id, url, html), with the response that it revisits, if any, in first_page
+    and first_uid. The rows are written once with their numbers, so that all that is made of them agrees."""
     url = F.regexp_replace(F.regexp_replace(F.col("url").cast("string"), "\r", "%0D"), "\n", "%0A")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("uid"))
-    own = own.withColumn("digest", F.sha2("html", 256))
+    own = written(own.withColumn("digest", F.sha2("html", 256)), "warc-pages")
     large = own.where(F.octet_length("html") >= smallest).select("digest", "page_id", "uid")
-    # copies meet as one aggregate row in each task before any shuffle
-    first = large.groupBy("digest").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where("n > 1")
-    tied = F.coalesce(F.col("l.page_id") == F.col("f.page_id"), F.col("f.page_id").isNull())
-    first = large.alias("l").join(first.alias("f"), "digest").where(tied).groupBy("digest").agg(F.min("l.uid").alias("first_uid"), F.first("f.page_id").alias("first_page"))
-    typed = own.join(first, "digest", "left")
+    # copies meet as one aggregate row in each task before any shuffle; with equal ids the smaller number is first
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "uid")
+    first = large.groupBy("digest").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = written(first.select("digest", F.col("f.page_id").alias("first_page"), F.col("f.uid").alias("first_uid")), "warc-first")
+    return own.join(first, "digest", "left")
+
+
+def records(typed: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """(value) three records for each row of ``captures``; see the module for which are revisits."""
     revisit = F.coalesce(F.col("uid") != F.col("first_uid"), F.lit(False))
     typed = typed.withColumn("revisit", revisit).withColumn("id", record_id(F.lit("capture"), F.col("page_id"), F.col("uid")))
     kind = F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))
@@ -79,10 +83,17 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", smallest: int
     return typed.select(F.explode(F.array(request, capture, metadata)).alias("value"))
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 6000, **how) -> None:
-    """Writes the captures of pages as gzipped archives; a file has so many records at most, since ``read`` takes whole files."""
-    out = records(pages, **how).write.option("lineSep", EOL + EOL).option("compression", "gzip")
-    out.option("maxRecordsPerFile", records_per_file).text(path)
+def write(pages: DataFrame, path: str, records_per_file: int = 6000, file_bytes: int = 1 << 28, date: str = "2024-01-01T00:00:00Z", smallest: int = 100) -> None:
+    """Writes the captures of pages as gzipped archives of at most so many records, and of about so many bytes before they are packed, since
+    ``read`` takes whole files. Pages too long for as many records go to archives of fewer."""
+    typed = captures(pages, smallest)
+    size = F.octet_length("html")
+    bound = file_bytes // records_per_file
+    top = pages.agg(F.max(F.octet_length(F.col("html").cast("string"))).alias("n")).first()["n"] or 0
+    parts = [(size <= bound, records_per_file)] + ([(size > bound, max(1, file_bytes // top))] if top > bound else [])
+    for nth, (which, per_file) in enumerate(parts):
+        out = records(typed.where(which), date).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", per_file)
+        out.mode("append" if nth else "errorifexists").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -155,10 +166,12 @@ def assemble(rows: DataFrame) -> DataFrame:
     group = [F.sort_array(F.collect_list(F.when(F.col("record_type") == k, F.struct("record_id", "fields")))).alias(n) for k, n in (("request", "requests"), ("metadata", "metadata"))]
     linked = linked.groupBy(F.col("concurrent_to").alias("record_id")).agg(*group)
     captures = captures.join(linked, "record_id", "left")
-    revisited = captures.where("record_type = 'revisit'").select(F.col("refers_to").alias("record_id")).distinct()
-    originals = captures.where("record_type = 'response'").join(revisited, "record_id", "left_semi")
-    originals = originals.select(F.col("record_id").alias("refers_to"), F.struct("response.payload_bytes", "response.payload_digest", "metadata").alias("original"))
-    return captures.join(originals, "refers_to", "left").select("record_id", "record_type", "target_uri", "date", "response", "requests", "metadata", "original")
+    revisits = captures.where("record_type = 'revisit'")
+    names = ["record_id", "record_type", "target_uri", "date", "response", "requests", "metadata"]
+    originals = captures.where("record_type = 'response'").join(revisits.select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi")
+    originals = written(originals.select(F.col("record_id").alias("refers_to"), F.struct("response.payload_bytes", "response.payload_digest", "metadata").alias("original")), "warc-originals")
+    alone = captures.where("record_type = 'response'").select(*names, F.lit(None).cast(originals.schema["original"].dataType).alias("original"))
+    return alone.union(revisits.join(originals, "refers_to", "left").select(*names, "original"))
 
 
 def page_id(metadata: Column) -> Column:

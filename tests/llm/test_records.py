@@ -184,6 +184,17 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_warc_long_pages(spark, tmp_path):
+    """Archives of long pages hold fewer records."""
+    rows = [(i, f"u{i}", "x" * (50_000 if i % 10 == 0 else 10) + str(i // 20)) for i in range(60)]
+    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), f"{tmp_path}/out", records_per_file=30, file_bytes=120_000)
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/out").select("content").collect()
+    sizes = [[len(b) for _, b in warc.parse(bytes(r["content"]))] for r in files]
+    assert max(map(sum, sizes)) < 130_000 and sum(map(len, sizes)) == 180
+    got = warc.assemble(warc.read(spark, f"{tmp_path}/out")).withColumn("page", warc.page_id(F.col("metadata"))).collect()
+    assert sorted(r["page"] for r in got) == list(range(60)) and sum(r["record_type"] == "revisit" for r in got) == 3
+
+
 def test_broken_archives():
     good = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [bytes(b) for _, b in warc.parse(good * 2)] == [b"abc"] * 2
