@@ -182,6 +182,10 @@ def _verified(percent: int):
 TILE, SHINGLES, WIDTH = 512, 1 << 18, 0.1
 
 
+#: Most bytes of candidates' ids that are broadcast to the texts; with more, texts and ids meet by shuffle.
+BROADCAST = 32 << 20
+
+
 def _parts(n: str) -> Column:
     """Tiles for the sets of a group, by their number and their shingles."""
     return F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(n) / SHINGLES)).cast("int")
@@ -219,7 +223,8 @@ def _sets(docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(part)), hashes], names=["fp1", "hashes"]).filter(right)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    made = written(texts.join(members, "rep").select("text", "fp1", "fp2").mapInArrow(run, "fp1 long, hashes array<long>"), "mh-sets")
+    few = members.count() * 24 <= BROADCAST  # three longs each; texts are not moved then
+    made = written(texts.join(F.broadcast(members) if few else members, "rep").select("text", "fp1", "fp2").mapInArrow(run, "fp1 long, hashes array<long>"), "mh-sets")
     if made.count() > members.count():  # repeated rows
         made = written(made.dropDuplicates(["fp1", "hashes"]), "mh-sets")
     return made
