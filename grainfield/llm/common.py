@@ -66,9 +66,18 @@ def stored(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back."""
-    return stored(df, scratch_path(df.sparkSession, name))
+#: Rows of a small table that one task writes.
+TASK_ROWS = 1 << 16
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df in a task for every TASK_ROWS of at most rows, one a core at least: a small table takes no more tasks, and files, than it is worth."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back; in few tasks where a bound of its rows is given."""
+    return stored(df if rows is None else few_tasks(df, rows), scratch_path(df.sparkSession, name))
 
 
 def word_count(text: Column) -> Column:

@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, scratch_path, stored
+from .common import few_tasks, remove, scratch_path, stored
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node.
 
-    edges: long columns u and v, in either order; repeated edges and loops do no harm. Every round hangs each
+    edges: long columns u and v, in either order; repeated edges and loops do no harm. rows: a bound of their number, if known. Every round hangs each
     node's larger neighbours, then its smaller ones, on its smallest neighbour; rounds grow with the logarithm of the
     longest path. A node's neighbours are never gathered: both steps are a minimum by key and a join. The minima are
     written before they are joined, since Spark splits the partition of a hub only where both sides of a join come straight from a
@@ -20,28 +20,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
 
-    def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    def table(df: DataFrame, name: str, rows: int | None) -> tuple[DataFrame, str]:
         path = scratch_path(spark, f"cc-{name}")
-        return stored(df, path), path
+        return stored(df if rows is None else few_tasks(df, rows), path), path
 
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, path = table(e, "edges")
+    e, path = table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows)
     state = _state(e)
     for _ in range(max_rounds):
-        if not state[0]:
+        n = state[0]
+        if not n:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low, path_low = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large, path_large = table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        near, path_near = table(large.groupBy("u").agg(F.min("v").alias("m")), "near")
+        low, path_low = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low", 2 * n)
+        large, path_large = table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", n)
+        near, path_near = table(large.groupBy("u").agg(F.min("v").alias("m")), "near", n)
+        # every node has one smaller neighbour, and that is a root: nothing moves any more
+        if near.count() == n and _state(large) == state:
+            for old in (path_low, path_large, path_near):
+                remove(spark, old)
+            break
         moved = large.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, new = table(near.select("u", F.col("m").alias("v")).union(moved).distinct(), "edges")
+        e, new = table(near.select("u", F.col("m").alias("v")).union(moved).distinct(), "edges", 2 * n)
         for old in (path, path_low, path_large, path_near):
             remove(spark, old)
-        path, now = new, _state(e)
-        if now == state:
-            break
-        state = now
+        path, state = new, _state(e)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -196,9 +196,10 @@ def _dealt(members: DataFrame, s: Settings) -> DataFrame:
 
     A small bucket is one tile. In a larger one tiles hold sets of about one size, and only tiles whose sizes allow the similarity are paired.
     """
-    groups = written(members.groupBy("g").agg((_parts("n") > 1).alias("large")), "mh-large")
-    counted = written(members.join(groups, "g").withColumn("cls", F.when(F.col("large"), F.floor(F.log("n") / WIDTH)).otherwise(0).cast("long")), "mh-counted")
-    parts = written(counted.groupBy("g", "cls").agg(_parts("n").alias("parts")), "mh-parts")
+    rows = members.count()
+    groups = written(members.groupBy("g").agg((_parts("n") > 1).alias("large")), "mh-large", rows)
+    counted = written(members.join(groups, "g").withColumn("cls", F.when(F.col("large"), F.floor(F.log("n") / WIDTH)).otherwise(0).cast("long")), "mh-counted", rows)
+    parts = written(counted.groupBy("g", "cls").agg(_parts("n").alias("parts")), "mh-parts", rows)
     own = counted.join(parts, ["g", "cls"]).select("fp1", "g", (F.col("cls") * (1 << 24) + F.pmod(F.xxhash64("fp1"), F.col("parts"))).alias("tile"))
     tiles = parts.select("g", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("g", "cls", (F.col("cls") * (1 << 24) + F.col("k")).alias("tile"))
     reach = int(np.log(100 / s.percent) / WIDTH) + 1
@@ -232,30 +233,31 @@ def _sets(docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
 
 def _linked(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """(u, v): edges between classes, by fp1, that connect what links of pairs sharing a bucket connect."""
+    n = classes.count()
     bands = classes.select("fp1", F.explode("keys").alias("key"))
-    hubs = written(bands.groupBy("key").agg(F.min("fp1").alias("hub"), F.max("fp1").alias("_mh_last")).where("hub < _mh_last").select("key", "hub"), "mh-hubs")
-    entries = written(bands.join(hubs, "key").distinct(), "mh-entries")
+    hubs = written(bands.groupBy("key").agg(F.min("fp1").alias("hub"), F.max("fp1").alias("_mh_last")).where("hub < _mh_last").select("key", "hub"), "mh-hubs", n * s.bands)
+    entries = written(bands.join(hubs, "key").distinct(), "mh-entries", n * s.bands)
     members = classes.drop("keys").join(entries.select("fp1").distinct(), "fp1", "left_semi")
-    members = written(members, "mh-members")
+    members = written(members, "mh-members", n)
     sets = _sets(docs, members.select("rep", "fp1", "fp2"), s)
 
     # each class against the hub with which it shares most bands
     shared = entries.where("fp1 <> hub").groupBy("fp1", "hub").agg(F.count("*").alias("times"))
     best = shared.groupBy("fp1").agg(F.max(F.struct("times", "hub"))["hub"].alias("hub"))
-    best = written(best.join(members.select("fp1", "n"), "fp1"), "mh-best")
-    stars = written(best.groupBy("hub").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("parts")), "mh-stars")
+    best = written(best.join(members.select("fp1", "n"), "fp1"), "mh-best", n)
+    stars = written(best.groupBy("hub").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("parts")), "mh-stars", n)
     rays = best.join(stars, "hub").select("fp1", "hub", F.pmod(F.xxhash64("fp1"), F.col("parts")).alias("part"))
     hearts = stars.select(F.col("hub").alias("fp1"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
     work = rays.unionByName(hearts).join(sets, "fp1")
     links = written(work.groupBy("hub", "part").applyInArrow(_star(s.percent), "u long, v long"), "mh-star-links")
-    found = written(connected_components(links), "mh-found")
+    found = written(connected_components(links, links.count()), "mh-found", n)
 
     # buckets that still hold several components, one of those with the same members
     label = entries.join(found.withColumnRenamed("node", "fp1"), "fp1", "left").select("key", "fp1", F.coalesce("component", "fp1").alias("component"))
     marks = [F.bit_xor(F.xxhash64("fp1", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
     open_ = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m0"), *marks).where("a < b")
-    open_ = written(open_.groupBy("m0", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "mh-open")
-    left = written(entries.join(open_, "key").join(members.select("fp1", "n"), "fp1").select("fp1", "n", "key", "hub"), "mh-left")
+    open_ = written(open_.groupBy("m0", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "mh-open", n * s.bands)
+    left = written(entries.join(open_, "key").join(members.select("fp1", "n"), "fp1").select("fp1", "n", "key", "hub"), "mh-left", n * s.bands)
     pairs = _dealt(_cheapest(left), s).join(sets, "fp1")
     more = pairs.groupBy("g", "lo", "hi").applyInArrow(_verified(s.percent), "u long, v long")
     return written(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "mh-links")
@@ -267,32 +269,33 @@ def _cheapest(left: DataFrame) -> DataFrame:
     Buckets that overlap, directly or over others, are one group where that moves fewer shingles: a set is in it once, and goes to as
     many tile pairs as the group has tiles. A chain of buckets too long for that stays in its buckets.
     """
-    chains = connected_components(left.select(F.col("fp1").alias("u"), F.col("hub").alias("v")))
-    placed = written(left.join(chains.select(F.col("node").alias("fp1"), F.col("component").alias("chain")), "fp1"), "mh-placed")
+    rows = left.count()
+    chains = connected_components(left.select(F.col("fp1").alias("u"), F.col("hub").alias("v")), rows)
+    placed = written(left.join(chains.select(F.col("node").alias("fp1"), F.col("component").alias("chain")), "fp1"), "mh-placed", rows)
     once = placed.groupBy("chain", "fp1").agg(F.first("n").alias("n"), F.sum("n").alias("apart"))
     costs = once.groupBy("chain").agg((F.sum("n") * _parts("n") <= F.sum("apart")).alias("whole"))
-    chosen = written(placed.join(written(costs, "mh-costs"), "chain"), "mh-chosen")
-    return written(chosen.select("fp1", "n", F.when(F.col("whole"), F.col("chain")).otherwise(F.xxhash64("key", "chain")).alias("g")).distinct(), "mh-groups")
+    chosen = written(placed.join(written(costs, "mh-costs", rows), "chain"), "mh-chosen", rows)
+    return written(chosen.select("fp1", "n", F.when(F.col("whole"), F.col("chain")).otherwise(F.xxhash64("key", "chain")).alias("g")).distinct(), "mh-groups", rows)
 
 
 def _classes(table: DataFrame) -> DataFrame:
     real = table.where("n_shingles > 0 and doc_id is not null")
-    return written(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "mh-classes")
+    return written(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "mh-classes", table.count())
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     table = written(sketched(docs, settings), "mh-sketched").drop("text_hash")
     classes = _classes(table)
-    links = _linked(docs, classes, settings)
+    links, n = _linked(docs, classes, settings), classes.count()
     # the texts of an id are one document
     one = table.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("fp1").alias("u"), F.max("fp1").alias("w")).where("u < w")
     rest = table.where("n_shingles > 0").join(one.select("doc_id", "u"), "doc_id").select("u", F.col("fp1").alias("v"))
-    found = connected_components(links.union(rest))
+    found = connected_components(links.union(rest), links.count() + table.count())
     label = classes.select("fp1", "fp2", "rep").join(found.withColumnRenamed("node", "fp1"), "fp1", "left")
-    label = written(label.select("fp1", "fp2", "rep", F.coalesce("component", "fp1").alias("c")), "mh-labels")
-    smallest = written(label.groupBy("c").agg(F.min("rep").alias("component")), "mh-smallest")
-    label = written(label.join(smallest, "c").select("fp1", "fp2", "component"), "mh-labels")
+    label = written(label.select("fp1", "fp2", "rep", F.coalesce("component", "fp1").alias("c")), "mh-labels", n)
+    smallest = written(label.groupBy("c").agg(F.min("rep").alias("component")), "mh-smallest", n)
+    label = written(label.join(smallest, "c").select("fp1", "fp2", "component"), "mh-labels", n)
     out = table.drop("keys").join(label, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
@@ -303,15 +306,16 @@ def dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs that stay: of each group of near-duplicates one with the smallest id, one of repeated rows, and all without a set or an id."""
     table = written(sketched(docs, settings), "mh-sketched")
     classes = _classes(table)
-    found = connected_components(_linked(docs, classes, settings))
+    links = _linked(docs, classes, settings)
+    found = connected_components(links, links.count())
     label = classes.select("fp1", "fp2", "rep").join(found.withColumnRenamed("node", "fp1"), "fp1", "left")
     # the class that stays has the smallest document of its component; of several such, the smallest fingerprint
     best = label.groupBy(F.coalesce("component", "fp1")).agg(F.min(F.struct("rep", "fp1", "fp2")).alias("b")).select("b.*")
-    best = written(best, "mh-best")
+    best = written(best, "mh-best", classes.count())
     own = table.where("doc_id is not null").select("doc_id", "text_hash", "n_shingles", "fp1", "fp2")
     stays = own.where("n_shingles > 0").join(best.withColumnRenamed("rep", "doc_id"), ["doc_id", "fp1", "fp2"], "left_semi").unionByName(own.where("n_shingles = 0"), allowMissingColumns=True)
     stays = stays.groupBy("doc_id", "fp1", "fp2").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("rows"))
-    stays = written(stays.select(F.col("doc_id").alias("_mh_id"), F.col("text_hash").alias("_mh_text"), F.col("rows").alias("_mh_rows")), "mh-stays")
+    stays = written(stays.select(F.col("doc_id").alias("_mh_id"), F.col("text_hash").alias("_mh_text"), F.col("rows").alias("_mh_rows")), "mh-stays", table.count())
     rows = docs.withColumn("_mh_own", F.xxhash64(F.col("text").cast("string"))).join(stays, (F.col("doc_id").cast("long") == F.col("_mh_id")) & (F.col("_mh_own") == F.col("_mh_text")))
     names = [F.col(f"`{c}`") for c in docs.columns]
     once = rows.where("_mh_rows = 1")
