@@ -107,7 +107,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
     dealt = dealt.repartition("label", "dim", "lo", "hi")  # else the join's partitions by label would stand, and a label be one task's work
     found = written(dealt.groupBy("label", "dim", "lo", "hi").applyInArrow(_tile_pair(threshold), "u long, v long, links long"), "ed-found")
     links = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
-    components = connected_components(found.where("v is not null").select("u", "v"))
+    edges = found.where("v is not null").select("u", "v")
+    components = connected_components(edges, edges.count())
     label = distinct.select("k1", "k2", "rep", "weight").join(links.withColumnRenamed("u", "rep"), "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     label = label.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = keyed.select("vec_id", "k1", "k2").join(label, ["k1", "k2"], "left")
