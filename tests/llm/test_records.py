@@ -58,11 +58,36 @@ def test_embedding_dedup(spark, monkeypatch, tile):
 def test_error_bounds_hold():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 64)) * 10.0 ** rng.integers(-200, 150, (200, 1))
-    q = embed_dedup.Quantised(x)
-    cos = (q.x @ q.x.T) / np.outer(q.norm, q.norm)
+    q = embed_dedup.Quantised.of(x)
+    at = np.repeat(np.arange(200), 200), np.tile(np.arange(200), 200)
+    cos = embed_dedup.cosines(x[at[0]], x[at[1]]).reshape(200, 200)
     about = (q.q.astype(float) @ q.q.T) * np.outer(q.scale, q.scale)
     bound = q.error[:, None] + np.outer(q.length, q.error)
     assert (np.abs(cos - about) <= bound + 1e-12).all() and bound.max() < 0.1
+    closer = q.fine(np.arange(200)) @ q.fine(np.arange(200)).T
+    bound = q.fine_error[:, None] + np.outer(1 + q.fine_error, q.fine_error)
+    assert (np.abs(cos - closer) <= bound + 1e-12).all() and bound.max() < 1e-3
+
+
+def test_only_open_pairs_need_doubles():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1, 64)) + rng.normal(size=(600, 64)) * 0.27
+    q = embed_dedup.Quantised.of(x)
+    certain, still = (sorted((int(i), int(j)) for p, r, sure in embed_dedup.compared(q, q, 0.93, True) if sure == want for i, j in zip(p, r)) for want in (True, False))
+    i, j = np.triu_indices(600, 1)
+    linked = {(int(a), int(b)) for a, b, c in zip(i, j, embed_dedup.cosines(x[i], x[j])) if c >= 0.93}
+    assert 1000 < len(linked) < 179000 and set(certain) <= linked <= set(certain) | set(still)
+    assert len(set(certain) | set(still)) == len(certain) + len(still) and len(still) < 0.01 * len(i)
+
+
+def test_embedding_dedup_at_the_threshold(spark):
+    """Pairs within 1e-6 of the threshold, on both sides: only doubles can tell."""
+    rows = []
+    for k in range(40):
+        c = 0.93 + (1e-6 if k % 2 else -1e-6)
+        rows += [(2 * k, [1.0, 0.0, 0.0, 0.0], k), (2 * k + 1, [c, (1 - c * c) ** 0.5, 0.0, 0.0], k)]
+    got = embed_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {2 * k + e: k % 2 for k in range(40) for e in (0, 1)}
 
 
 def best(rows, k=20):
