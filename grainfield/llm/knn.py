@@ -7,12 +7,15 @@ A cell (pivot, annulus) knows its least and largest r and its largest norm. For
     q.v <= (|q|^2 + n_max^2 - gap^2) / 2, gap = distance of |q - p| from [r_min, r_max]   (triangle inequality)
     q.v <= |q| n_max
 
-A query first looks at the cells with the highest bounds until they hold k candidates; its k-th score then rules out
-every cell whose bound is below it, and the rest of the annuli are searched. Results are exact.
+A query takes the cells in the order of their bounds, in rounds: first as many as hold ``FIRST`` rows for every answer, then ``GROWTH``
+times as many each round. After a round its k-th score so far is its floor, and it stops as soon as the bound of its next cell is below
+that. Results are exact. In a round the queries travel to the cells that they need, a few bytes a component; the blocks of a
+cell are sent once a round, however many queries ask for them, and a query that has stopped costs nothing.
 
 Only the pivots come from a bounded sample (``SAMPLE`` rows chosen by hash); every row is in the index. Cells number
 at most ``PIVOTS`` * ``ANNULI``, so their bounds fit on the driver and in every task, whatever the number of rows; a
-cell's rows are split into blocks of about ``BLOCK``.
+cell's rows are split into blocks of about ``BLOCK``. What the bounds rule out depends on the vectors: ``Index.looked`` counts the
+pairs of a query and a row that were scored.
 
 Nulls and odd cases: rows with a null id, and vectors that are null, empty or hold null or non-finite components take no
 part. Missing last components of shorter vectors count as 0. Rows that share a query's id count as the query itself; a
@@ -33,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import matrix, usable
 
-SAMPLE, PIVOTS, ANNULI, BLOCK, QUERIES = 1024, 256, 16, 1024, 256
+SAMPLE, PIVOTS, ANNULI, BLOCK, QUERIES = 4096, 512, 16, 2048, 128
+#: Rows that a query's first round looks at for each answer, and how many times as many the next round reaches.
+FIRST, GROWTH = 4, 16
 
 
 def whole(x: np.ndarray, scale: float) -> np.ndarray:
@@ -68,13 +73,11 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Cells:
-    """Bounds of all cells. key: pivot * ANNULI + annulus."""
+    """Bounds of all cells; rows: cell, pivot, n, low, high, norm."""
 
     def __init__(self, rows: list, pivots: np.ndarray):
         self.pivots = pivots
-        self.pivot = np.array([r["pivot"] for r in rows], np.int64)
-        self.annulus = np.array([r["annulus"] for r in rows], np.int64)
-        self.n = np.array([r["n"] for r in rows], np.int64)
+        self.cell, self.pivot, self.n = (np.array([r[c] for r in rows], np.int64) for c in ("cell", "pivot", "n"))
         self.low, self.high, self.norm = (np.array([r[c] for r in rows], np.float64) for c in ("low", "high", "norm"))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
@@ -88,15 +91,17 @@ class Cells:
 
 
 class Index:
-    """The written index. rows: (vec_id, vector, pivot, r, norm, annulus); blocks: packed cells; cells: their bounds."""
+    """The written index. rows: (vec_id, vector, pivot, r, norm, cell); blocks: packed cells; cells: their bounds."""
 
     def __init__(self, vectors: DataFrame, scale: float = 64.0):
         own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
         own = own.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
         size = own.agg(F.max(F.size("vector")).alias("dim"), F.count("*").alias("n")).first()
-        self.dim, self.n, self.scale = size["dim"] or 1, size["n"], scale
+        self.dim, self.n = size["dim"] or 1, size["n"]
+        self.looked = own.sparkSession.sparkContext.accumulator(0)
         sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-        pivots = choose_pivots(whole(matrix(sample.column("vector"), self.dim), scale), int(min(PIVOTS, max(8, self.n**0.5 / 16))))
+        pivots = choose_pivots(whole(matrix(sample.column("vector"), self.dim), scale), int(min(PIVOTS, max(8, self.n**0.5))))
+        annuli = int(min(ANNULI, max(1, self.n // (64 * len(pivots)))))
         dim = self.dim
 
         def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,18 +113,17 @@ class Index:
                 yield pa.RecordBatch.from_arrays([batch.column(0), vector, pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(x)), at]), pa.array(np.sqrt((x**2).sum(1)))], names=["vec_id", "vector", "pivot", "r", "norm"])
 
         keyed = written(own.mapInArrow(key, "vec_id long, vector array<double>, pivot int, r double, norm double"), "knn-keyed")
-        cuts = keyed.groupBy("pivot").agg(F.percentile_approx("r", [i / ANNULI for i in range(1, ANNULI)]).alias("cuts")).collect()
-        edges = {c["pivot"]: c["cuts"] for c in cuts}
-        by_pivot = F.create_map(*[x for p in sorted(edges) for x in (F.lit(p), F.array(*[F.lit(float(e)) for e in edges[p]]))]) if edges else None
-        annulus = F.size(F.filter(by_pivot[F.col("pivot")], lambda e: e < F.col("r"))) if edges else F.lit(0)
-        self.rows = keyed.withColumn("annulus", annulus.cast("int"))
-        bounds = self.rows.groupBy("pivot", "annulus").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high"), F.max("norm").alias("norm")).collect()
-        self.cells = Cells(sorted(bounds, key=lambda b: (b["pivot"], b["annulus"])), pivots)
-        counts = {(b["pivot"], b["annulus"]): -(-b["n"] // BLOCK) for b in bounds}
-        many = F.create_map(*[x for (p, a), c in sorted(counts.items()) for x in (F.lit(p * ANNULI + a), F.lit(int(c)))]) if counts else None
-        chunk = F.pmod(F.xxhash64("vec_id"), many[F.col("pivot") * ANNULI + F.col("annulus")]) if counts else F.lit(0)
-        dealt = self.rows.withColumn("chunk", chunk.cast("int"))
-        self.blocks = written(packed(dealt, ["pivot", "annulus", "chunk"]), "knn-blocks")
+        # one row a pivot, then one a cell: never more than PIVOTS and PIVOTS * ANNULI rows are broadcast
+        cuts = keyed.groupBy("pivot").agg(F.percentile_approx("r", [i / annuli for i in range(1, annuli)] or [0.5]).alias("cuts"))
+        annulus = F.size(F.filter("cuts", lambda e: e < F.col("r"))) if annuli > 1 else F.lit(0)
+        placed = keyed.join(F.broadcast(written(cuts, "knn-cuts", PIVOTS)), "pivot").withColumn("cell", (F.col("pivot") * annuli + annulus).cast("int")).drop("cuts")
+        self.rows = written(placed, "knn-placed")
+        bounds = self.rows.groupBy("cell", "pivot").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high"), F.max("norm").alias("norm"))
+        bounds = written(bounds, "knn-bounds", PIVOTS * ANNULI)
+        self.cells = Cells(bounds.orderBy("cell").collect(), pivots)
+        chunks = bounds.select("cell", F.ceil(F.col("n") / BLOCK).alias("chunks"))
+        dealt = self.rows.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+        self.blocks = written(packed(dealt, ["cell", "chunk"]), "knn-blocks")
 
 
 def packed(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -154,22 +158,21 @@ def top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, least: np.ndarray,
     return np.nonzero(ok)
 
 
-def _search(pairs: DataFrame, questions: DataFrame, index: Index, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best of each block that the pairs (q, pivot, annulus) name."""
-    dim = index.dim
-    blocks = index.blocks.select("pivot", "annulus", "ids", "vectors", "wide")
-    asked = questions.select("q", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("wide").alias("q_wide"), "least")
+def _search(asked: DataFrame, index: Index, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each block for the queries that need its cell."""
+    dim, looked = index.dim, index.looked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, vectors, wide, q_ids, q_vectors, q_wide, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, x = _unpack(ids, vectors, wide, dim)
                 own, q = _unpack(q_ids, q_vectors, q_wide, dim)
+                looked.add(len(ids) * len(own))
                 scores = products(q, x)
                 i, j = top(scores, ids, own, np.frombuffer(least, "<i8"), k)
                 yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[j]), pa.array(scores[i, j])], names=["query_id", "vec_id", "score"])
 
-    joined = pairs.join(blocks, ["pivot", "annulus"]).join(asked, "q")
+    joined = asked.join(index.blocks.select("cell", "ids", "vectors", "wide"), "cell")
     return joined.select("ids", "vectors", "wide", "q_ids", "q_vectors", "q_wide", "least").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
@@ -178,60 +181,68 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+class Round:
+    """The cells that a query takes when it has looked at ``seen`` rows and may look at ``reach``; both count whole cells in its own order."""
+
+    def __init__(self, cells, dim: int, seen: int, reach: int):
+        self.cells, self.dim, self.seen, self.reach = cells, dim, seen, reach  # cells: a broadcast
+
+    def _parts(self, batch: pa.RecordBatch):
+        """Slices of the queries with, for each query and cell, the bound and the number of rows in cells that come before it."""
+        c = self.cells.value
+        for s in range(0, len(batch), QUERIES):
+            part = batch.slice(s, QUERIES)
+            x = matrix(part.column("vector"), self.dim)
+            bounds = c.bounds(x)
+            order = np.argsort(-bounds, 1, kind="stable")
+            before = np.empty(bounds.shape, np.int64)
+            np.put_along_axis(before, order, np.cumsum(c.n[order], 1) - c.n[order], 1)
+            least = part.column("least").to_numpy()
+            yield part, x, before, bounds >= least[:, None], least
+
+    def asked(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each cell that a query of a slice needs, with those queries."""
+        c = self.cells.value
+        for batch in batches:
+            for part, x, before, possible, least in self._parts(batch):
+                need = possible & (before >= self.seen) & (before < self.reach)
+                ids = part.column("vec_id").to_numpy().astype("<i8")
+                wide = bool(np.abs(x).max(initial=0) >= 2**15)
+                x = x if wide else x.astype(np.int16)
+                for at in np.flatnonzero(need.any(0)):
+                    own = need[:, at]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([c.cell[at]], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([x[own].tobytes()]), pa.array([wide]), pa.array([least[own].astype("<i8").tobytes()])],
+                        names=["cell", "q_ids", "q_vectors", "q_wide", "least"],
+                    )
+
+    def going_on(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries whose next cell may hold an answer."""
+        for batch in batches:
+            for part, _, before, possible, _ in self._parts(batch):
+                yield part.filter(pa.array((possible & (before >= self.reach)).any(1)))
+
+
 def top_k(index: Index, queries: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for the indexed rows for which ``queries`` holds (a condition on vec_id)."""
-    spark, cells, dim = index.rows.sparkSession, index.cells, index.dim
-    asked = index.rows.where(queries).groupBy("vec_id").agg(F.min(F.struct("vector", "pivot")).alias("s")).select("vec_id", "s.vector", "s.pivot")
-    counts = {r["pivot"]: -(-r["n"] // QUERIES) for r in asked.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # at most PIVOTS rows
-    if not counts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    many = F.create_map(*[x for p, c in sorted(counts.items()) for x in (F.lit(p), F.lit(int(c)))])
-    dealt = asked.withColumn("q", F.concat_ws("-", "pivot", F.pmod(F.xxhash64("vec_id"), many[F.col("pivot")])))
-    questions = written(packed(dealt, ["q"]), "knn-questions")
-    shared = spark.sparkContext.broadcast(cells)  # at most PIVOTS * ANNULI cells
-
-    def chosen(pick, floor):
-        """A map from question rows to (q, pivot, annulus) rows for the cells that pick says."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = shared.value
-            for batch in batches:
-                for q, ids, vectors, wide, least in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                    _, x = _unpack(ids, vectors, wide, dim)
-                    at = np.flatnonzero(pick(c, c.bounds(x), np.frombuffer(least, "<i8") if floor else None))
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), pa.string()), pa.array(c.pivot[at].astype(np.int32)), pa.array(c.annulus[at].astype(np.int32))], names=["q", "pivot", "annulus"])
-
-        return run
-
-    def nearest(c: Cells, bounds: np.ndarray, least) -> np.ndarray:
-        order = np.argsort(-bounds, 1)
-        before = np.cumsum(c.n[order], 1) - c.n[order]
-        some = np.zeros(len(c.n), bool)
-        some[order[before <= k]] = True
-        return some
-
-    def possible(c: Cells, bounds: np.ndarray, least: np.ndarray) -> np.ndarray:
-        return (bounds >= least[:, None]).any(0) & ~nearest(c, bounds, least)
-
-    plan = "q string, pivot int, annulus int"
-    anything = F.lit(np.iinfo(np.int64).min).cast("long")
-    no_floor = questions.withColumn("least", F.lit(None).cast("binary"))
-    first_pairs = no_floor.select("q", "ids", "vectors", "wide", "least").mapInArrow(chosen(nearest, False), plan)
-
-    def floors(table: pa.Table) -> pa.Table:
-        """The k-th score of each query of a question, in the order of its ids."""
-        have = dict(zip(table.column("vec_id").to_pylist(), table.column("least").to_pylist(), strict=True))
-        return pa.table({"q": table.column("q").slice(0, 1), "least": [np.array([have[i] for i in sorted(have)], "<i8").tobytes()]})
-
-    members = dealt.select("q", "vec_id")
-    lowest = members.withColumn("least", anything).groupBy("q").applyInArrow(floors, "q string, least binary")
-    first = written(_ranked(_search(first_pairs, questions.join(lowest, "q"), index, k), k), "knn-first")
-    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
-    known = members.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", anything)).groupBy("q").applyInArrow(floors, "q string, least binary")
-    bounded = written(questions.join(known, "q"), "knn-bounded")
-    more_pairs = bounded.select("q", "ids", "vectors", "wide", "least").mapInArrow(chosen(possible, True), plan)
-    more = _search(more_pairs, bounded, index, k)
-    return _ranked(first.drop("rank").union(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    cells = index.rows.sparkSession.sparkContext.broadcast(index.cells)  # at most PIVOTS * ANNULI cells
+    state = "vec_id long, vector array<double>, least long"
+    asked = index.rows.where(queries).groupBy("vec_id").agg(F.min(F.struct("vector", "pivot")).alias("s"))
+    asked = asked.select("vec_id", "s.vector", F.lit(np.iinfo(np.int64).min).cast("long").alias("least"), "s.pivot").sortWithinPartitions("pivot", "vec_id").drop("pivot")
+    asked, best, step = written(asked, "knn-queries"), None, Round(cells, index.dim, 0, FIRST * max(1, k))
+    while True:
+        pairs = asked.mapInArrow(step.asked, "cell int, q_ids binary, q_vectors binary, q_wide boolean, least binary")
+        found = _search(pairs, index, k)
+        best = written(_ranked(found if best is None else best.drop("rank").union(found), k), "knn-best")
+        if step.reach >= index.n:
+            break
+        floor = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        raised = asked.join(floor, "vec_id", "left").select("vec_id", "vector", F.coalesce("floor", "least").alias("least"))
+        asked = written(raised.mapInArrow(step.going_on, state), "knn-queries")
+        if asked.isEmpty():
+            break
+        step = Round(cells, index.dim, step.reach, step.reach * GROWTH)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2_topk(spark, sf_dir: str) -> DataFrame:

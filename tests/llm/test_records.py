@@ -104,6 +104,7 @@ def best(rows, k=20):
 def test_topk(spark, dim, k, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK", 16)
     monkeypatch.setattr(knn, "QUERIES", 4)
+    monkeypatch.setattr(knn, "GROWTH", 2)
     rows = vectors(dim=dim)
     index = knn.Index(spark.createDataFrame(rows, VECTORS).withColumn("r", F.lit("x")).repartition(3))
     got = collections.defaultdict(dict)
@@ -113,6 +114,19 @@ def test_topk(spark, dim, k, monkeypatch):
     assert {q: [v[i] for i in range(1, len(v) + 1)] for q, v in got.items()} == want
 
 
+def test_topk_stops_in_clusters(spark):
+    """In clustered vectors less than a fifth of the rows is searched, with the same answers."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 12)) * 3
+    rows = [(i, [float(v) for v in np.float32(centres[i % 40] + rng.normal(size=12) * 0.1)], 1) for i in range(2400)]
+    index = knn.Index(spark.createDataFrame(rows, VECTORS).repartition(3))
+    got = collections.defaultdict(list)
+    for r in knn.top_k(index, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == best(rows)
+    assert 0 < index.looked.value < 0.2 * len(got) * len(rows)
+
+
 def test_topk_odd_rows(spark):
     assert knn.top_k(knn.Index(spark.createDataFrame([], VECTORS)), F.col("vec_id") % 20 == 0).count() == 0
     assert knn.top_k(knn.Index(spark.createDataFrame([(1, [1.0], 1)], VECTORS)), F.col("vec_id") % 20 == 0).count() == 0
@@ -128,7 +142,7 @@ def test_bounds_hold():
     pivots = knn.choose_pivots(x, 5)
     d = knn._distances(x, pivots)
     at, r = d.argmin(1), d.min(1)
-    rows = [{"pivot": p, "annulus": 0, "n": int((at == p).sum()), "low": r[at == p].min(), "high": r[at == p].max(), "norm": np.sqrt((x[at == p] ** 2).sum(1)).max()} for p in range(5)]
+    rows = [{"cell": p, "pivot": p, "n": int((at == p).sum()), "low": r[at == p].min(), "high": r[at == p].max(), "norm": np.sqrt((x[at == p] ** 2).sum(1)).max()} for p in range(5)]
     bounds = knn.Cells(rows, pivots).bounds(x)
     assert all((x @ x[at == p].T).max(1)[i] <= bounds[i, p] for p in range(5) for i in range(300))
 
