@@ -117,7 +117,7 @@ class Index:
         cuts = keyed.groupBy("pivot").agg(F.percentile_approx("r", [i / annuli for i in range(1, annuli)] or [0.5]).alias("cuts"))
         annulus = F.size(F.filter("cuts", lambda e: e < F.col("r"))) if annuli > 1 else F.lit(0)
         placed = keyed.join(F.broadcast(written(cuts, "knn-cuts", PIVOTS)), "pivot").withColumn("cell", (F.col("pivot") * annuli + annulus).cast("int")).drop("cuts")
-        self.rows = written(placed, "knn-placed")
+        self.rows = placed
         bounds = self.rows.groupBy("cell", "pivot").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high"), F.max("norm").alias("norm"))
         bounds = written(bounds, "knn-bounds", PIVOTS * ANNULI)
         self.cells = Cells(bounds.orderBy("cell").collect(), pivots)
