@@ -172,7 +172,8 @@ def _search(asked: DataFrame, index: Index, k: int) -> DataFrame:
                 i, j = top(scores, ids, own, np.frombuffer(least, "<i8"), k)
                 yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[j]), pa.array(scores[i, j])], names=["query_id", "vec_id", "score"])
 
-    joined = asked.join(index.blocks.select("cell", "ids", "vectors", "wide"), "cell")
+    # Spark takes the questions to be as small as the queries' table, which they outgrow: neither side may be broadcast on that guess
+    joined = asked.hint("merge").join(index.blocks.select("cell", "ids", "vectors", "wide").hint("merge"), "cell")
     return joined.select("ids", "vectors", "wide", "q_ids", "q_vectors", "q_wide", "least").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
