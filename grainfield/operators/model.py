@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import algebra
-from .moments import gram, matrix_of, rows_of
+from .moments import gram_blocks, matrix_of, rows_of
 from .voxels import nonempty_voxels
 
 #: Scores are stored times this, loadings divided by it.
@@ -90,7 +90,7 @@ def project(m: DataFrame, to_scores: np.ndarray) -> DataFrame:
 
 def moments_of(m: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, second moments and number of the voxels."""
-    sums = matrix_of(gram(m, width))
+    sums = matrix_of(gram_blocks(m, width))
     if not len(sums):
         return np.zeros(width), np.zeros((width, width)), 0
     n = int(sums[-1, -1])
@@ -116,7 +116,7 @@ def fit(m: DataFrame, width: int, components: int, tol: float = 1e-8, max_iter:
         f, converged, steps = algebra.orthonormal_factors(raw, values, n), True, 0
         if components > 1:
             start = f.to_scores
-            pairs = matrix_of(gram(own, width, lambda x: algebra.pair_products(x @ start)))[:-1, :-1]
+            pairs = matrix_of(gram_blocks(own, width, lambda x: algebra.pair_products(x @ start)))[:-1, :-1]
             r, converged, steps = algebra.varimax(algebra.fourth_moments(pairs, components), n, tol, max_iter)
             f = algebra.rotated(f, r)
         f = algebra.orient(f)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from grainfield.functions.grid import GridSpec, voxel_id
 from grainfield.operators import algebra, report
 from grainfield.operators.model import fit, load_model, project
-from grainfield.operators.moments import gram, matrix_of, mean_spectrum, second_moments
+from grainfield.operators.moments import gram_blocks, matrix_of, mean_spectrum, second_moments
 from grainfield.operators.select import select_ions
 from grainfield.operators.voxels import dense_rows, ion_type_counts, nonempty_voxels, voxel_counts, voxelize
 from grainfield.plans.queries import explode_grid_q
@@ -178,11 +178,11 @@ def test_counts(spark):
 
 def test_moments(spark):
     m, x = matrix(spark, B).repartition(4), np.array(B, float)
-    sums = matrix_of(gram(m, 3))
+    sums = matrix_of(gram_blocks(m, 3))
     assert sums[:3, :3] == pytest.approx(x.T @ x) and sums[3, 3] == 6
     assert {r["feature_idx"]: r["mean"] for r in mean_spectrum(m, 3).collect()} == pytest.approx(dict(enumerate(x.mean(0))))
     assert {(r["i"], r["j"]): r["value"] for r in second_moments(m, 3).collect()}[0, 2] == pytest.approx((x[:, 0] * x[:, 2]).mean())
-    assert matrix_of(gram(matrix(spark, []), 3)).size == 0
+    assert matrix_of(gram_blocks(matrix(spark, []), 3)).size == 0
 
 
 def test_selection(spark):
@@ -288,3 +288,16 @@ def test_saved_model(spark, tmp_path):
         two = load_model(spark, f"{tmp_path}/{p}")
         assert all(np.array_equal(getattr(one, c), getattr(two, c)) for c in ("eigenvalues", "to_scores", "loadings", "mean"))
         assert (one.n, one.converged, one.steps, one.components) == (two.n, two.converged, two.steps, two.components)
+
+
+def test_wide_gram(spark):
+    """The two-level sum of blocks: equal to dense sums, in rows a task that do not grow with the width."""
+    rng = np.random.default_rng(2)
+    x = rng.poisson(0.4, (300, 150)).astype(float)
+    m = matrix(spark, x.tolist()).repartition(5)
+    blocks = gram_blocks(m, 150)
+    y = np.hstack([x, np.ones((300, 1))])
+    assert (matrix_of(blocks) == y.T @ y).all()
+    assert blocks.count() == 36 and gram_blocks(matrix(spark, []), 150).count() == 0
+    got = second_moments(m, 150).where("i > j").collect()
+    assert len(got) == 150 * 149 / 2 and all(math.isclose(r["value"], (y.T @ y)[r["i"], r["j"]] / 300) for r in got)
