@@ -1,6 +1,6 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from . import chat, embed_dedup, katz, knn, langid, minhash, mixing, packing, substring, warc, whitening
+from . import chat, embed_dedup, katz, knn, langid, minhash, mixing, packing, secret_scan, substring, warc, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_packing": packing.op9_packing,
     "op10_langid": langid.op10_langid,
+    "op11_secrets": secret_scan.op11_secrets,
     "op12_whitening": whitening.op12_whitening,
 }
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op5_warc": warc.ORACLE_SQL,
     "op7_embedding_dedup": embed_dedup.ORACLE_SQL,
     "op8_minhash": minhash.ORACLE_SQL,
+    "op11_secrets": secret_scan.ORACLE_SQL,
 }
