@@ -1,6 +1,6 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from . import chat, embed_dedup, katz, knn, langid, minhash, mixing, packing, secret_scan, substring, warc, whitening
+from . import chat, embed_dedup, katz, knn, langid, minhash, mixing, packing, repair, secret_scan, substring, warc, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_langid": langid.op10_langid,
     "op11_secrets": secret_scan.op11_secrets,
     "op12_whitening": whitening.op12_whitening,
+    "op13_repair": repair.op13_repair,
 }
 ORACLE = {
     "op1_mixing": mixing.ORACLE_SQL,
@@ -25,4 +26,5 @@ ORACLE = {
     "op7_embedding_dedup": embed_dedup.ORACLE_SQL,
     "op8_minhash": minhash.ORACLE_SQL,
     "op11_secrets": secret_scan.ORACLE_SQL,
+    "op13_repair": repair.ORACLE_SQL,
 }

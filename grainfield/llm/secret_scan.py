@@ -203,14 +203,14 @@ def _oracle(s: Settings) -> str:
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     kinds = [(k, p, f"length(regexp_extract(s, {quoted(p)}, {g})) >= {n}") for k, p, g, n in BASE] + [(c.name, f"[{c.alphabet}]+", f"length(s) >= {c.window}") for c in s.classes]
     parts = " UNION ALL ".join(
-        f"SELECT r, {i} AS kind, s, a, a + length(s) AS b FROM (SELECT r, s, sum(length(s) + length(g)) OVER (PARTITION BY r ORDER BY i) - length(s) AS a FROM "
+        f"SELECT r, {i} AS kind, s, a, a + length(s) AS b FROM (SELECT r, s, sum(length(s) + length(g)) OVER (PARTITION BY r ORDER BY i)::BIGINT - length(s) AS a FROM "
         f"(SELECT r, unnest(f) AS s, unnest(string_split_regex(text, {quoted(p)})[:len(f)]) AS g, unnest(range(len(f))) AS i FROM (SELECT *, regexp_extract_all(text, {quoted(p)}, 0) AS f FROM d))) WHERE {keep}"
         for i, (_, p, keep) in enumerate(kinds)
     )
     few = lambda p, n: f"length(regexp_replace(w, '[^{p}]', '', 'g')) >= {n}"
     slides = " UNION ALL ".join(
         f"SELECT r, kind, a + o AS a, a + o + {c.window} AS b FROM (SELECT r, kind, a, o, substr(s, o + 1, {c.window}) AS w FROM (SELECT *, unnest(range(length(s) - {c.window - 1})) AS o FROM m WHERE kind = {i})) "
-        f"WHERE list_sum(list_transform(map_values(list_aggregate(string_split(w, ''), 'histogram')), lambda c: {weights(c.window)[1:]}[c])) <= {c.most} AND {few('0-9', c.digits)} AND {few('A-Z', c.upper)} AND {few('a-z', c.lower)} AND {few('A-Za-z', c.letters)}"
+        f"WHERE list_sum(list_transform(map_values(list_aggregate(string_split(w, ''), 'histogram')), lambda c: {weights(c.window)[1:]}[c::BIGINT])) <= {c.most} AND {few('0-9', c.digits)} AND {few('A-Z', c.upper)} AND {few('a-z', c.lower)} AND {few('A-Za-z', c.letters)}"
         for i, c in enumerate(s.classes, len(BASE))
     )
     allowed = " OR ".join(f"regexp_matches(substr(text, a + 1, b - a), {quoted(p)})" for p in s.allow)
