@@ -268,7 +268,7 @@ class Block:
         self.train = np.array(block.column("train")[0].as_py(), bool)
         token, self.size = (unpack(x) for x in block.column("cols")[0].as_py())
         by = {}
-        for level, p, cols in zip(answers.column("level").to_pylist(), answers.column("p").to_pylist(), answers.column("cols"), strict=True):
+        for level, p, cols in zip(answers.column("level").to_pylist(), answers.column("p").to_pylist(), answers.column("found"), strict=True):
             by.setdefault(level, []).append((p, cols))
         ids, counts = (np.concatenate([unpack(cols[i].as_py()) for _, cols in sorted(by[1], key=lambda r: r[0])]) for i in (0, 1))
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
@@ -567,7 +567,7 @@ def _finished(d: dict[int, np.ndarray], c: Corpus):
         size, known, base, score = (unpack(x, kind) for x, kind in zip(docs.column("cols")[0].as_py(), (np.int64, np.int64, np.float64, np.float64), strict=True))
         score = score.copy()
         logs = np.log10(np.concatenate([d[k] for k in range(2, c.order + 1)]))
-        for cols in sums.column("cols"):
+        for cols in sums.column("sums"):
             at, part, *often = (x.as_py() for x in cols)
             own = unpack(part, np.float64)
             if often:
@@ -608,10 +608,9 @@ def score(docs: DataFrame, train: Column, held: Column, settings: Settings = Set
     texts = blocks.where("kind = 0").select("block", "doc_ids", "train", "held", "cols")
 
     def with_answers(make, schema: str) -> DataFrame:
-        own = told[0].where("kind = 0").select("block", "p", "level", "cols")
-        for t in told[1:]:
-            own = own.union(t.where("kind = 0").select("block", "p", "level", "cols"))
-        return texts.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(make, schema)
+        # names of its own on each side: a projection above would take columns of one name from both
+        own = reduce(DataFrame.union, [t.where("kind = 0").select(F.col("block").alias("to"), "p", "level", F.col("cols").alias("found")) for t in told])
+        return texts.groupBy("block").cogroup(own.groupBy("to")).applyInArrow(make, schema)
 
     for k in range(2, n):
         asked = with_answers(_hot_requests(k, c), _sql(_REQUEST))
@@ -631,8 +630,8 @@ def score(docs: DataFrame, train: Column, held: Column, settings: Settings = Set
     found = hot.groupBy("level", "n").agg(*sums).collect()
     shared = {(r["level"], *r["n"][:-2]): np.array([r[f"s{i}"] for i in range(2 * K + 1)]) for r in found}
     weighed = tables.where("kind = 4").select("level", "cols", "blocks").mapInArrow(_weighed(d, shared), _sql(["block", "cols"]))
-    sums = tables.where("kind = 1").select("block", "cols").union(weighed)
-    return tables.where("kind = 0").select("block", "doc_ids", "held", "cols").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_finished(d, c), _RESULT)
+    sums = tables.where("kind = 1").select("block", "cols").union(weighed).select(F.col("block").alias("to"), F.col("cols").alias("sums"))
+    return tables.where("kind = 0").select("block", "doc_ids", "held", "cols").groupBy("block").cogroup(sums.groupBy("to")).applyInArrow(_finished(d, c), _RESULT)
 
 
 def op6_katz(spark, sf_dir: str) -> DataFrame:
