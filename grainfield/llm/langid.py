@@ -7,8 +7,9 @@ language's filter says yes to what it never saw, and the largest corrected count
 
 Training reads a stated sample (about ``Settings.sample`` rows of each language, those whose hash of id and text is
 below the share of the language's rows that this is); an n-gram is
-put in a language's filter if it is at least ``Settings.share`` of that language's n-grams. Prediction reads every
-whole text and nothing but the text.
+put in a language's filter if it is at least ``Settings.share`` of that language's n-grams and, where ``Settings.few`` n-grams of its
+length or more do, occurs twice; a small sample keeps what occurs once. The slots are made by Spark, an aggregate of bits by slot, and
+reach the driver as long as the filter is: 2**bits words for every 64 languages. Prediction reads every whole text and nothing but the text.
 
 Nulls and odd cases: null, empty and letterless texts are ``und`` with score 0. Null languages are not learned
 from. Null ids are predicted, but not learned from. With nothing to learn from, every text is ``und``. Repeated
@@ -25,22 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, crc_mod, mix64, steps, utf8
+from .common import _LOWER, crc_mod, mix64, steps, utf8, written
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: rows learned from, of each language, on average; languages: most languages; bits: log2 of the slots; hashes: slots
-    of an n-gram; sizes: n-gram lengths in bytes; share: least share of a language's n-grams."""
+    """sample: rows learned from, of each language, on average; bits: log2 of the slots; hashes: slots of an n-gram; sizes: n-gram
+    lengths in bytes; share: least share of a language's n-grams; few: n-grams that occur twice, from which on others are left out."""
 
     sample: int = 2000
-    languages: int = 256
     bits: int = 18
     hashes: int = 2
     sizes: tuple[int, ...] = (3, 4)
     share: float = 2e-5
+    few: int = 64
 
 
 @dataclass(frozen=True)
@@ -85,18 +86,12 @@ def _slots_of(keys: np.ndarray, settings: Settings) -> list[np.ndarray]:
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """A model from (doc_id, text, lang) rows that may all be learned from.
-
-    Only the n-grams above the least share come to the driver: at most 1 / share of each size and language.
-    """
-    spark = docs.sparkSession
-    labelled = docs.where("lang is not null and text is not null")
-    found = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(settings.languages + 1).collect()
-    if len(found) > settings.languages:
-        raise ValueError(f"more than {settings.languages} languages")
-    shares = [x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, settings.sample / r["n"])))]
+    """A model from (doc_id, text, lang) rows that may all be learned from. Only names of languages and the filter's slots come to the driver."""
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_rows"))
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))  # from 0 to 1
-    sample = labelled.where(place < F.create_map(*shares)[F.col("lang")] if found else F.lit(False)).select("lang", "text")
+    # a row a language; the model that goes to all tasks has 2**bits / 8 bytes for each
+    sample = labelled.join(F.broadcast(counts), "lang").where(place < F.lit(settings.sample) / F.col("_rows")).select("lang", "text")
     sizes = settings.sizes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,17 +105,24 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(c)], names=["lang", "key", "n"])
 
     grams = sample.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    sums = grams.groupBy("lang", F.shiftrightunsigned("key", 60).alias("size")).agg(F.sum("n").alias("total"))
-    often = grams.withColumn("size", F.shiftrightunsigned("key", 60)).join(sums, ["lang", "size"]).where(F.col("n") >= F.greatest(F.lit(2), settings.share * F.col("total")))
-    rows = often.select("lang", "key").toPandas()
-    languages = tuple(sorted(rows["lang"].unique()))
+    grams = written(grams.withColumn("size", F.shiftrightunsigned("key", 60)), "langid-grams")
+    sums = grams.groupBy("lang", "size").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 1).alias("twice"))
+    least = F.greatest(F.when(F.col("twice") >= settings.few, 2).otherwise(1), settings.share * F.col("total"))
+    often = grams.join(sums, ["lang", "size"]).where(F.col("n") >= least).select("lang", "key")
+    languages = tuple(sorted(r["lang"] for r in sums.select("lang").distinct().collect()))
+    nth = {lang: i for i, lang in enumerate(languages)}
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = np.array([nth[x] for x in batch.column(0).to_pylist()], np.int64)
+            for at in _slots_of(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), settings):
+                bit = np.left_shift(np.uint64(1), (number % 64).astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((number // 64).astype(np.int32)), pa.array(at), pa.array(bit)], names=["plane", "slot", "bits"])
+
+    made = often.mapInArrow(bits, "plane int, slot long, bits long").groupBy("plane", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     slots = np.zeros((max(1, -(-len(languages) // 64)), 1 << settings.bits), np.uint64)
-    rate = np.zeros(len(languages))
-    for i, lang in enumerate(languages):
-        plane, bit = slots[i // 64], np.uint64(1 << (i % 64))
-        for at in _slots_of(rows["key"][rows["lang"] == lang].to_numpy(np.int64).view(np.uint64), settings):
-            plane[at] |= bit
-        rate[i] = ((plane & bit) != 0).mean() ** settings.hashes
+    slots[made.column("plane").to_numpy(), made.column("slot").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
+    rate = np.array([((slots[i // 64] & np.uint64(1 << (i % 64))) != 0).mean() ** settings.hashes for i in range(len(languages))])
     return Model(settings, languages, slots, rate)
 
 
