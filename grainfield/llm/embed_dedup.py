@@ -194,7 +194,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
     """(vec_id, n_links, component_id, kept) of every row; vectors: vec_id, embedding, label."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("vector"))
     able = usable(F.col("vector")) & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    keys = [F.when(able, F.xxhash64("label", "vector", F.lit(s))).alias(f"k{s}") for s in (1, 2)]
+    # the seed comes first: hashes fold from left to right, and after one of 64 bits no seed could tell two vectors apart
+    keys = [F.when(able, F.xxhash64(F.lit(s), "label", "vector")).alias(f"k{s}") for s in (1, 2)]
     keyed = own.select("vec_id", "label", F.when(able, F.col("vector")).alias("vector"), *keys)
     distinct = keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     distinct = written(distinct.withColumn("dim", F.size("vector")), "ed-distinct")
