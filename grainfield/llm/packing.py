@@ -164,22 +164,24 @@ def best_fit(counts: dict[int, int], size: int) -> np.ndarray:
 def pack(cut: DataFrame, size: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to rows that have a length between 1 and size; cut should be a written table.
 
-    Only the histogram (at most ``size`` rows) and the plan made from it pass through the driver.
+    Rows of a length are dealt to groups by ``_pack_row``, a stored number of each row, where there is one (it is left out of the result): equal and
+    null ids then make no group of their own. Only the histogram (at most ``size`` rows) and the plan made from it pass through the driver.
     """
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(n is None or not 1 <= n <= size for n in counts):
         raise ValueError(f"lengths must be from 1 to {size}")
     salts = max(SALTS, -(-max(counts.values(), default=0) // GROUP))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int")
+    of_row = ["_pack_row"] if "_pack_row" in cut.columns else ["doc_id", "piece", "start"]
+    salt = F.pmod(F.xxhash64(*of_row), F.lit(salts)).cast("int")
     dealt = cut.withColumn("_pack_salt", salt)
     groups = dealt.groupBy("length", "_pack_salt").agg(F.count("*").alias("_pack_n"))
     before = W.partitionBy("length").orderBy("_pack_salt").rowsBetween(W.unboundedPreceding, -1)
     groups = written(groups.withColumn("_pack_before", F.coalesce(F.sum("_pack_n").over(before), F.lit(0))), "pack-groups")
     slots = best_fit(counts, size)
-    own = F.row_number().over(W.partitionBy("length", "_pack_salt").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(W.partitionBy("length", "_pack_salt").orderBy(*of_row)) - 1
     ranked = dealt.withColumn("_pack_rank", own).join(groups.drop("_pack_n"), ["length", "_pack_salt"])
     ranked = ranked.withColumn("_pack_rank", F.col("_pack_rank") + F.col("_pack_before")).drop("_pack_salt", "_pack_before")
-    names = [c for c in ranked.columns if c != "_pack_rank"]
+    names = [c for c in ranked.columns if c not in ("_pack_rank", "_pack_row")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, ranks, _, firsts, offsets, each = slots.T if len(slots) else np.zeros((6, 1), np.int64)
@@ -199,7 +201,7 @@ def pack(cut: DataFrame, size: int = 1024) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = StructType([*ranked.select(*names).schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.mapInArrow(place, schema).select(*cut.columns, "sequence_id", "offset")
+    return ranked.mapInArrow(place, schema).select(*[c for c in cut.columns if c != "_pack_row"], "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -217,7 +219,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 1024, end_id: int = 2) -> DataFrame:
     """Every piece of every document with its place in the packed sequences."""
-    return pack(written(pieces(docs, tokenizer or tokenizer_path(), size, end_id), "pack-pieces"), size)
+    cut = pieces(docs, tokenizer or tokenizer_path(), size, end_id).withColumn("_pack_row", F.monotonically_increasing_id())
+    return pack(written(cut, "pack-pieces"), size)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
