@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import Snapshots
 from . import algebra
 from .moments import gram_blocks, matrix_of, rows_of
 from .voxels import nonempty_voxels
@@ -50,24 +51,44 @@ class Model:
         rows = [(c, k, float(self.loadings[k, c])) for c in range(self.components) for k in range(len(self.mean))]
         return spark.createDataFrame(rows, "component int, feature_idx int, loading double")
 
+    def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """The model as tables: eigenvalues, features (mean, weights and loadings of each) and fit."""
+        rows = [(i, float(self.mean[i]), [float(x) for x in self.to_scores[i]], [float(x) for x in self.loadings[i]]) for i in range(len(self.mean))]
+        fit = [(self.n, self.components, self.converged, self.steps)]
+        return {"eigenvalues": self.eigenvalue_table(spark), "features": spark.createDataFrame(rows, FEATURES), "fit": spark.createDataFrame(fit, FIT)}
 
     def save(self, path: str, spark: SparkSession) -> None:
-        """The model as tables below path: eigenvalues, features (mean, weights and loadings of each) and fit. ``load_model`` reads them."""
-        self.eigenvalue_table(spark).write.mode("overwrite").parquet(f"{path}/eigenvalues")
-        rows = [(i, float(self.mean[i]), [float(x) for x in self.to_scores[i]], [float(x) for x in self.loadings[i]]) for i in range(len(self.mean))]
-        spark.createDataFrame(rows, FEATURES).write.mode("overwrite").parquet(f"{path}/features")
-        spark.createDataFrame([(self.n, self.components, self.converged, self.steps)], FIT).write.mode("overwrite").parquet(f"{path}/fit")
+        """Writes ``tables`` below path, in place; ``load_model`` reads them. ``publish_model`` saves while others read."""
+        for name, df in self.tables(spark).items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 #: Columns of a saved model's tables.
+VALUES = "idx int, eigenvalue double"
 FEATURES, FIT = "feature_idx int, mean double, to_scores array<double>, loadings array<double>", "n long, components int, converged boolean, steps int"
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
-    """The model that ``Model.save`` wrote; its tables are as long as the features, which bound the width of the rows."""
-    values = spark.read.parquet(f"{path}/eigenvalues").orderBy("idx").collect()
-    own = spark.read.schema(FEATURES).parquet(f"{path}/features").orderBy("feature_idx").collect()
-    how = spark.read.schema(FIT).parquet(f"{path}/fit").first()
+    """The model that ``Model.save`` wrote."""
+    return _model_of(*(spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in (("eigenvalues", VALUES), ("features", FEATURES), ("fit", FIT))))
+
+
+def publish_model(results: Snapshots, model: Model, **tables: DataFrame) -> int:
+    """The model's tables, and others, as the next version of results; its number."""
+    return results.publish(**model.tables(results.spark), **tables)
+
+
+def read_model(results: Snapshots, version: int | None = None) -> Model:
+    """The model of a version of results, the newest if none is given."""
+    version = results.latest() if version is None else version
+    return _model_of(*(results.read(name, version) for name in ("eigenvalues", "features", "fit")))
+
+
+def _model_of(eigenvalues: DataFrame, features: DataFrame, fit: DataFrame) -> Model:
+    """A model from its tables, which are as long as the features; these bound the width of the rows."""
+    values = eigenvalues.orderBy("idx").collect()
+    own = features.orderBy("feature_idx").collect()
+    how = fit.first()
     shape = (len(own), how["components"])
     to_scores, loadings = (np.array([r[c] for r in own], np.float64).reshape(shape) for c in ("to_scores", "loadings"))
     return Model(np.array([r["eigenvalue"] for r in values]), to_scores, loadings, np.array([r["mean"] for r in own]), how["n"], how["converged"], how["steps"])
