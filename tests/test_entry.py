@@ -8,8 +8,8 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SAYS = """
 import __spark_entry__ as e
-from grainfield.plans.queries import ORACLE, QUERIES
-assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLE), set(e.queries())
+from grainfield.plans import queries, table_queries
+assert set(e.queries()) == {*queries.QUERIES, *table_queries.QUERIES} and set(e.oracle_sql()) == {*queries.ORACLE, *table_queries.ORACLE}, set(e.queries())
 """
 
 

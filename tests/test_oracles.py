@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from grainfield.plans.queries import ORACLE
+from grainfield.plans import queries, table_queries
 
+ORACLE = queries.ORACLE | table_queries.ORACLE
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
