@@ -7,6 +7,7 @@ moments of order four of the scores.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,16 +70,15 @@ def fourth_moments(pairs: np.ndarray, p: int) -> np.ndarray:
     return pairs[at[:, :, None, None], at[None, None]]
 
 
-def varimax(moments: np.ndarray, n: int, tol: float = 1e-8, max_iter: int = 500) -> tuple[np.ndarray, bool, int]:
+def rotation(cubes: Callable[[np.ndarray], np.ndarray], p: int, n: int, tol: float = 1e-8, max_iter: int = 500) -> tuple[np.ndarray, bool, int]:
     """Rotation that makes the columns of the scores simple, whether it settled, and the steps taken.
 
-    The columns are orthonormal over n rows, so a column's mean square is 1 / n in any rotation.
+    cubes(r): sums over all rows of t_i (t r)_j ** 3. The columns of t are orthonormal over n rows, so a column's mean square is 1 / n in any
+    rotation.
     """
-    p = moments.shape[0]
     r, reached = np.eye(p), 0.0
     for step in range(1, max_iter + 1):
-        cubes = np.einsum("iabc,aj,bj,cj->ij", moments, r, r, r, optimize=True)
-        left, s, right = np.linalg.svd(cubes - r / n)
+        left, s, right = np.linalg.svd(cubes(r) - r / n)
         r = left @ right
         if s.sum() <= reached * (1 + tol):
             return r, True, step
@@ -86,6 +86,11 @@ def varimax(moments: np.ndarray, n: int, tol: float = 1e-8, max_iter: int = 500)
     return r, False, max_iter
 
 
+def varimax(moments: np.ndarray, n: int, tol: float = 1e-8, max_iter: int = 500) -> tuple[np.ndarray, bool, int]:
+    """``rotation`` from the moments of order four, p x p x p x p: no pass over rows a step."""
+    return rotation(lambda r: np.einsum("iabc,aj,bj,cj->ij", moments, r, r, r, optimize=True), len(moments), n, tol, max_iter)
+
+
 def orient(f: Factors) -> Factors:
     """Each component with the sign with which positive loadings hold more than half of its squared loading; as it is at exactly half."""
     squares = f.loadings**2

@@ -49,9 +49,9 @@ def _upper(blocks: DataFrame) -> DataFrame:
     return own.select((F.col("i") + F.floor(F.col("at") / F.col("cols"))).cast("int").alias("i"), (F.col("j") + F.col("at") % F.col("cols")).cast("int").alias("j"), "value").where("i <= j")
 
 
-def add_blocks(parts: DataFrame, size: int) -> DataFrame:
-    """Blocks of tasks, of a matrix of that size, added up: narrow ones entry by entry, as blocks of one entry; others in two levels, so
-    that no task adds up those of all tasks."""
+def add_blocks(parts: DataFrame, size: int = NARROW + 1) -> DataFrame:
+    """Blocks of tasks added up: those of a narrow matrix, of that size, entry by entry, as blocks of one entry; others in two levels, so that
+    no task adds up those of all tasks."""
     if size <= NARROW:
         return _upper(parts).groupBy("i", "j").agg(F.array(F.sum("value")).alias("v")).select("i", "j", F.lit(1).alias("cols"), "v")
     level = parts.withColumn("g", F.spark_partition_id() % GROUPS)
@@ -78,6 +78,37 @@ def gram_blocks(m: DataFrame, width: int, image: Callable[[np.ndarray], np.ndarr
     return add_blocks(m.select("x").mapInArrow(run, BLOCK), width + 1)
 
 
+def tall_slices(total: np.ndarray) -> pa.RecordBatch:
+    """A matrix of few columns in blocks of rows. Each counts as right of the diagonal, so it is taken whole."""
+    edges = np.unique(np.linspace(0, len(total), min(SIDES, len(total)) + 1).astype(int)).tolist()
+    n, cols = len(edges) - 1, total.shape[1]
+    columns = [pa.array(edges[:-1], pa.int32()), pa.array([len(total)] * n, pa.int32()), pa.array([cols] * n, pa.int32())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([total[a:b].ravel() for a, b in zip(edges, edges[1:])], pa.list_(pa.float64()))], names=["i", "j", "cols", "v"])
+
+
+def tall_matrix(slices: DataFrame, rows: int, cols: int) -> np.ndarray:
+    """Blocks of ``tall_slices`` as a matrix on the driver: features or components times a few columns."""
+    out = np.zeros((rows, cols))
+    for r in slices.collect():
+        part = np.asarray(r["v"]).reshape(-1, cols)
+        out[r["i"] : r["i"] + len(part)] = part
+    return out
+
+
+def cross_blocks(m: DataFrame, width: int, images: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Sums over all rows of y_i z_j for (y, z) = images(x), as ``tall_slices``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            y, z = images(rows_of(batch.column(0), width))
+            total = y.T @ z + (0 if total is None else total)
+        if total is not None:
+            yield tall_slices(total)
+
+    return add_blocks(m.select("x").mapInArrow(run, BLOCK))
+
+
 def entries(blocks: DataFrame) -> DataFrame:
     """(i, j, value) of both triangles from blocks."""
     sides = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
