@@ -8,8 +8,9 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SAYS = """
 import __spark_entry__ as e
-from grainfield.plans import queries, table_queries
-assert set(e.queries()) == {*queries.QUERIES, *table_queries.QUERIES} and set(e.oracle_sql()) == {*queries.ORACLE, *table_queries.ORACLE}, set(e.queries())
+from grainfield.plans import queries, table_queries, wide_queries
+own = (queries, table_queries, wide_queries)
+assert set(e.queries()) == {k for m in own for k in m.QUERIES} and set(e.oracle_sql()) == {k for m in own for k in m.ORACLE}, set(e.queries())
 """
 
 

@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from grainfield.plans import queries, table_queries
+from grainfield.plans import queries, table_queries, wide_queries
 
-ORACLE = queries.ORACLE | table_queries.ORACLE
+ORACLE = queries.ORACLE | table_queries.ORACLE | wide_queries.ORACLE
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
