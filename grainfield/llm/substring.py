@@ -4,12 +4,14 @@ Nodes are sampled word k-mers ("anchors"), edges the word k-mers of varying leng
 of a text to the next. A place is an anchor if its k-mer has the smallest hash of some window around it, so
 every window of ``window`` words has an anchor that its own words decide, and equal windows have equal ones.
 
-1. Every text gives its anchors: hash of the k-mer, and a hash of the two edges around it.
+1. Every text gives its anchors: hash of the k-mer, the anchor before it and the words between, and a hash of the two edges around it.
 2. An aggregate by node keeps the repeated nodes (those in two documents or more) with the smallest document, and says whether a node
-   branches: whether its occurrences differ in an edge.
-3. A join brings that back to the occurrences. Between branching nodes the graph is a plain path that all its documents
-   walk alike, so neighbouring windows none of whose anchors branches are repeated in the same documents: they
-   compact to one run, one row however long it is. Windows at branching nodes remain rows of their own.
+   branches: whether its occurrences differ in an edge. A node that does not branch has one edge to the node before it, and where that one does
+   not branch either, all their documents walk it alike: the edges between such nodes are plain paths.
+3. Joins compact these paths: each node takes over its predecessor's predecessor, so the way to the head of its path doubles each round, and
+   has in the end the head and its distance from it in words. (No path is a circle: a circle is entered somewhere, and there it branches.) A join
+   brings that to the occurrences, and an aggregate by document, path and where the path would begin makes one row of each walk, however long. In the
+   texts, neighbouring windows on plain paths are one run; windows at branching nodes remain rows of their own.
 4. Runs and windows carry their coordinates and a 96-bit hash of all their words. A last aggregate and join on it
    verifies them: a run goes only if the same words, read at its source, begin in a smaller document.
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -53,12 +56,17 @@ class Anchors:
         self.starts = np.flatnonzero(w.same(window))
         self.low = low[self.starts]
 
+    def firsts(self) -> np.ndarray:
+        """Whether each anchor is its text's first."""
+        row = self.words.row[self.at]
+        first = np.ones(len(self.at), bool)
+        first[1:] = row[1:] != row[:-1]
+        return first
+
     def contexts(self) -> np.ndarray:
         """A hash of the two edges at each anchor; the ends of a text count as places of their own."""
-        w, at = self.words, self.at
+        w, at, first = self.words, self.at, self.firsts()
         row = w.row[at]
-        first = np.ones(len(at), bool)
-        first[1:] = row[1:] != row[:-1]
         last = np.ones(len(at), bool)
         last[:-1] = first[1:]
         before = np.where(first, w.first[row], np.concatenate([[0], at[:-1]]))
@@ -85,7 +93,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchor_table(docs: DataFrame, window: int) -> DataFrame:
-    """(node, context, doc_id, _ss_key, pos) of every anchor of every text."""
+    """(node, context, before, gap, doc_id, _ss_key, pos) of every anchor of every text; before, gap: the anchor before it, if any, and how many
+    words back it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,18 +103,56 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
                 row = a.words.row[a.at]
                 index = pa.array(row + first)
                 pos = (a.at - a.words.first[row]).astype(np.int32)
+                node, alone = a.grams[a.at].view(np.int64), a.firsts()
+                before, gap = np.roll(node, 1), (a.at - np.roll(a.at, 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.grams[a.at].view(np.int64)), pa.array(a.contexts().view(np.int64)), batch.column(0).take(index), batch.column(1).take(index), pa.array(pos)],
-                    names=["node", "context", "doc_id", "_ss_key", "pos"],
+                    [pa.array(node), pa.array(a.contexts().view(np.int64)), pa.array(before, mask=alone), pa.array(gap, mask=alone), batch.column(0).take(index), batch.column(1).take(index), pa.array(pos)],
+                    names=["node", "context", "before", "gap", "doc_id", "_ss_key", "pos"],
                 )
 
-    return _keyed(docs).where("doc_id is not null").mapInArrow(run, "node long, context long, doc_id long, _ss_key long, pos int")
+    return _keyed(docs).where("doc_id is not null").mapInArrow(run, "node long, context long, before long, gap int, doc_id long, _ss_key long, pos int")
 
 
 def repeated_nodes(anchors: DataFrame) -> DataFrame:
-    """(node, source, branches) of nodes in two documents or more; the source is the smallest document."""
-    found = anchors.groupBy("node").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_ss_last"), F.min("context").alias("a"), F.max("context").alias("b"))
-    return found.where(F.col("source") < F.col("_ss_last")).select("node", "source", (F.col("a") != F.col("b")).alias("branches"))
+    """(node, source, branches, before, gap) of nodes in two documents or more; the source is the smallest document. Nodes that do not branch have
+    the edge to the node before them."""
+    found = anchors.groupBy("node").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_ss_last"), F.min("context").alias("a"), F.max("context").alias("b"), F.min(F.struct("before", "gap")).alias("e"))
+    branches = F.col("a") != F.col("b")
+    return found.where(F.col("source") < F.col("_ss_last")).select("node", "source", branches.alias("branches"), *[F.when(~branches, F.col(f"e.{c}")).alias(c) for c in ("before", "gap")])
+
+
+def plain_paths(nodes: DataFrame) -> DataFrame:
+    """(node, head, along) of nodes that do not branch: the first node of their plain path, and how many words behind it they are.
+
+    Rounds of joins; after each, a node has found its head or has gone twice as far. What it takes is the longest path's number of nodes, as bits.
+    """
+    plain = nodes.where("not branches").select("node", "before", "gap")
+    known = plain.select(F.col("node").alias("before"), F.lit(True).alias("there"))
+    now = plain.join(known, "before", "left").select("node", F.when(F.col("there"), F.col("before")).otherwise(F.col("node")).alias("head"), F.when(F.col("there"), F.col("gap")).otherwise(0).alias("along"), F.col("there").isNull().alias("done"))
+    ended, going = [], written(now, "ss-paths")
+    while True:
+        ended.append(going.where("done").select("node", "head", "along"))
+        if going.where("not done").isEmpty():
+            return reduce(DataFrame.union, ended)
+        # a node whose head has ended has ended too
+        of_head = reduce(DataFrame.union, [x.withColumn("done", F.lit(True)) for x in ended]).union(going.where("not done").select("node", "head", "along", "done"))
+        of_head = of_head.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("along").alias("more"), F.col("done").alias("over"))
+        step = going.where("not done").select("node", "head", "along").join(of_head, "head")
+        going = written(step.select("node", F.col("next").alias("head"), (F.col("along") + F.col("more")).alias("along"), F.col("over").alias("done")), "ss-paths")
+
+
+def walks(anchors: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(doc_id, _ss_key, marks): of each document with repeated nodes, its walks along plain paths and its branching nodes.
+
+    A mark is the first place, then the words up to the last place (30 bits), whether a smaller document has it, and whether it is a branching node.
+    """
+    placed = written(nodes.join(paths, "node", "left").select("node", "source", "branches", "head", "along"), "ss-placed")
+    found = anchors.select("node", "doc_id", "_ss_key", "pos").join(placed, "node")
+    found = found.select("doc_id", "_ss_key", "pos", (F.col("source") < F.col("doc_id")).alias("early"), "branches", F.coalesce("head", "node").alias("path"), (F.col("pos") - F.coalesce("along", F.lit(0))).alias("begin"))
+    found = found.repartition("doc_id", "_ss_key")  # both aggregates below keep to these partitions
+    walk = found.groupBy("doc_id", "_ss_key", "path", "begin", "early", "branches").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    mark = F.shiftleft(F.col("first").cast("long"), 32) + (F.col("last") - F.col("first")).cast("long") * 4 + F.col("early").cast("long") * 2 + F.col("branches").cast("long")
+    return walk.groupBy("doc_id", "_ss_key").agg(F.collect_list(mark).alias("marks"))
 
 
 def _kept(text: bytes, w: Words, i: int, removed: np.ndarray, with_text: bool) -> tuple[int, int, str, str | None]:
@@ -157,9 +204,12 @@ def _first_look(joined: DataFrame, window: int, with_text: bool) -> DataFrame:
                 own = [(i, m) for i, m in enumerate(marks[offset : offset + len(part)]) if m]
                 if own and len(a.at):
                     code = np.concatenate([np.array(m, np.int64) for _, m in own])
-                    base = np.repeat([w.first[i] for i, _ in own], [len(m) for _, m in own])
-                    at = np.searchsorted(a.at, base + (code >> 2))
-                    state[0, at], state[1, at], state[2, at] = 1, code & 1, (code >> 1) & 1
+                    base = np.repeat([w.first[i] for i, _ in own], [len(m) for _, m in own]) + (code >> 32)
+                    begin, end = np.searchsorted(a.at, base), np.searchsorted(a.at, base + (code >> 2 & (1 << 30) - 1)) + 1
+                    for k, which in enumerate((code >= 0, code & 1 > 0, code & 2 > 0)):
+                        np.add.at(state[k], begin[which], 1)
+                        np.add.at(state[k], end[which], -1)
+                    state = np.cumsum(state, axis=1)
                 j = a.deciding()
                 left, right = np.searchsorted(a.at, a.starts), np.searchsorted(a.at, a.starts + a.width)
                 branch = np.concatenate([[0], np.cumsum(state[1])])
@@ -216,10 +266,8 @@ def repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataF
     spark = docs.sparkSession
     anchors = written(anchor_table(docs, window), "ss-anchors")
     # written before it is joined: Spark splits the partition of a hot node only where both sides come straight from a shuffle
-    nodes = written(repeated_nodes(anchors.select("node", "doc_id", "context")), "ss-nodes")
-    early = (F.col("source") < F.col("doc_id")).cast("int")
-    mark = F.col("pos") * 4 + early * 2 + F.col("branches").cast("int")
-    marks = anchors.select("node", "doc_id", "_ss_key", "pos").join(nodes, "node").groupBy("doc_id", "_ss_key").agg(F.collect_list(mark.cast("int")).alias("marks"))
+    nodes = written(repeated_nodes(anchors.select("node", "doc_id", "context", "before", "gap")), "ss-nodes")
+    marks = walks(anchors, nodes, plain_paths(nodes))
     looked = _first_look(_keyed(docs).join(marks, ["doc_id", "_ss_key"], "left"), window, with_text)
     path = scratch_path(spark, "ss-looked")
     looked.write.option("compression", "zstd").partitionBy("kind").parquet(path)
