@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, the warehouse on a cluster, and a temporary folder in a local session."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary folder of a local session. Raises ValueError on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         master = spark.sparkContext.master
         alone = master.startswith("local") and not master.startswith("local-cluster")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if not alone:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
