@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 1 << 19
 #: Removes a query's shuffle files as soon as its result is written.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_folders: list[str] = []
+#: The folder of the innermost ``scratch_folder`` of this thread.
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def _base(spark: SparkSession) -> str:
-    """The shared folder: that of ``spark.checkpoint.dir``; where it is unset, the warehouse, or a temporary folder of a local session."""
+    """The shared folder: that of ``spark.checkpoint.dir``; where it is unset, a temporary folder of a local session. Raises ValueError on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
@@ -30,12 +32,12 @@ def _base(spark: SparkSession) -> str:
     if master.startswith("local") and not master.startswith("local-cluster"):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         return spark.sparkContext.getCheckpointDir().rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, inside the folder of the innermost ``scratch_folder``."""
-    return f"{_folders[-1] if _folders else _base(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_folder.get() or _base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -47,11 +49,13 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch_folder(spark: SparkSession, name: str):
     """Gathers the scratch tables made inside in one folder, which is deleted at the end."""
-    _folders.append(scratch_path(spark, name))
+    path = scratch_path(spark, name)
+    before = _folder.set(path)
     try:
         yield
     finally:
-        remove(spark, _folders.pop())
+        _folder.reset(before)
+        remove(spark, path)
 
 
 def stored(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
