@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,34 +86,48 @@ def records(typed: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
 
 def write(pages: DataFrame, path: str, records_per_file: int = 6000, file_bytes: int = 1 << 28, date: str = "2024-01-01T00:00:00Z", smallest: int = 100) -> None:
     """Writes the captures of pages as gzipped archives of at most so many records, and of about so many bytes before they are packed, since
-    ``read`` takes whole files. Pages too long for as many records go to archives of fewer."""
+    a task of ``read`` takes whole files. Pages too long for as many records are classed by powers of two of their size, and each class's archives
+    have half the records of the class before; so one long page sets no other page's archives."""
     typed = captures(pages, smallest)
-    size = F.octet_length("html")
     bound = file_bytes // records_per_file
-    top = pages.agg(F.max(F.octet_length(F.col("html").cast("string"))).alias("n")).first()["n"] or 0
-    parts = [(size <= bound, records_per_file)] + ([(size > bound, max(1, file_bytes // top))] if top > bound else [])
-    for nth, (which, per_file) in enumerate(parts):
-        out = records(typed.where(which), date).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", per_file)
+    size = lambda html: F.greatest(F.lit(0), F.ceil(F.log2(F.octet_length(html) / bound))).cast("int")
+    found = pages.select(F.coalesce(size(F.col("html").cast("string")), F.lit(0)).alias("k")).distinct().collect()  # some thirty at most
+    for nth, k in enumerate(sorted(r["k"] for r in found) or [0]):
+        own = typed.where(F.coalesce(size(F.col("html")), F.lit(0)) == k)
+        out = records(own, date).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", max(1, records_per_file >> k))
         out.mode("append" if nth else "errorifexists").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers, with lower-case names, and block of each record of an archive, gzipped or plain."""
-    if archive[:2] == b"\x1f\x8b":
-        archive = gzip.decompress(archive)
-    view, at = memoryview(archive), 0
-    while at < len(archive):
-        end = archive.find(b"\r\n\r\n", at)
-        head = archive[at:end].decode("utf-8", "replace").split(EOL) if end > 0 else [""]
+    """Headers, with lower-case names, and block of each record of an archive, gzipped or plain. It is unpacked as records are taken: a
+    megabyte is held besides a record."""
+    source = gzip.GzipFile(fileobj=io.BytesIO(archive)) if archive[:2] == b"\x1f\x8b" else io.BytesIO(archive)
+    held, at = bytearray(), 0
+
+    def there(n: int) -> bool:
+        while len(held) < n:
+            more = source.read(max(1 << 20, n - len(held)))
+            if not more:
+                return False
+            held.extend(more)
+        return True
+
+    while there(1):
+        end = held.find(b"\r\n\r\n")
+        while end < 0 and there(len(held) + 1):
+            end = held.find(b"\r\n\r\n")
+        head = held[:end].decode("utf-8", "replace").split(EOL) if end > 0 else [""]
         headers = dict((k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in head[1:]))
         if not head[0].startswith("WARC/") or not headers.get("content-length", "").isdigit():
             raise ValueError(f"no record at byte {at}")
         begin = end + 4
-        at = begin + int(headers["content-length"])
-        if at > len(archive):
-            raise ValueError(f"the archive ends inside the record at byte {begin}")
-        yield headers, view[begin:at]
-        at += 4
+        stop = begin + int(headers["content-length"])
+        if not there(stop):
+            raise ValueError(f"the archive ends inside the record at byte {at + begin}")
+        yield headers, memoryview(bytes(held[begin:stop]))
+        there(stop + 4)
+        del held[: stop + 4]
+        at += stop + 4
 
 
 _TEXTS = ["record_id", "record_type", "target_uri", "date", "concurrent_to", "refers_to", "declared_digest", "payload_digest", "fields"]

@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import os
 import random
 import re
 
@@ -258,3 +259,26 @@ def test_digest_of_a_turn(spark, sf_dir):
     text = r"\### Assistant: </turn> ok"
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and row["loss_chars"] == len(text)
+
+
+def test_long_pages_set_no_other_archives(spark, tmp_path):
+    """Archives by size class: one page of 6 MB does not cut up those of sixty of 46 kB."""
+    rng = np.random.default_rng(1)
+    page = lambda n: rng.bytes(n // 2).hex()
+    rows = [(i, f"u{i}", page(46_000)) for i in range(60)] + [(60, "u", page(6_000_000)), (61, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"{tmp_path}/w", records_per_file=6000, file_bytes=1 << 28)
+    files = [n for n in os.listdir(f"{tmp_path}/w") if n.endswith(".gz")]
+    assert len(files) == 3
+    got = warc.read(spark, f"{tmp_path}/w").where("record_type = 'response'").collect()
+    assert sorted(r["payload_bytes"] for r in got) == [0] + [46_000] * 60 + [6_000_000]
+
+
+def test_archives_are_unpacked_as_they_are_read():
+    record = lambda n: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, b"x" * n)
+    sizes = [0, 5, 3_000_000, 1, 70_000]
+    for archive in (b"".join(map(record, sizes)), gzip.compress(b"".join(map(record, sizes))), b"".join(gzip.compress(record(n)) for n in sizes)):
+        assert [(len(b), h["content-length"]) for h, b in warc.parse(archive)] == [(n, str(n)) for n in sizes]
+    for bad in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", record(5)[:-6], b"nonsense", record(1) + b"GET / \r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(bad))
