@@ -9,8 +9,8 @@ A cell (pivot, annulus) knows its least and largest r and its largest norm. For
 
 A query takes the cells in the order of their bounds, in rounds: first as many as hold ``FIRST`` rows for every answer, then ``GROWTH``
 times as many each round. After a round its k-th score so far is its floor, and it stops as soon as the bound of its next cell is below
-that. Results are exact. In a round the queries travel to the cells that they need, a few bytes a component; the blocks of a
-cell are sent once a round, however many queries ask for them, and a query that has stopped costs nothing.
+that. Results are exact. In a round the queries travel to the blocks of the cells that they need, a few bytes a component; a
+block is sent once a round, however many queries ask for it, and a query that has stopped costs nothing.
 
 Only the pivots come from a bounded sample (``SAMPLE`` rows chosen by hash); every row is in the index. Cells number
 at most ``PIVOTS`` * ``ANNULI``, so their bounds fit on the driver and in every task, whatever the number of rows; a
@@ -73,11 +73,12 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Cells:
-    """Bounds of all cells; rows: cell, pivot, n, low, high, norm."""
+    """Bounds of all cells and the blocks of each; rows: cell, pivot, n, low, high, norm."""
 
     def __init__(self, rows: list, pivots: np.ndarray):
         self.pivots = pivots
         self.cell, self.pivot, self.n = (np.array([r[c] for r in rows], np.int64) for c in ("cell", "pivot", "n"))
+        self.chunks = -(-self.n // BLOCK)
         self.low, self.high, self.norm = (np.array([r[c] for r in rows], np.float64) for c in ("low", "high", "norm"))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
@@ -173,7 +174,8 @@ def _search(asked: DataFrame, index: Index, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[j]), pa.array(scores[i, j])], names=["query_id", "vec_id", "score"])
 
     # Spark takes the questions to be as small as the queries' table, which they outgrow: neither side may be broadcast on that guess
-    joined = asked.hint("merge").join(index.blocks.select("cell", "ids", "vectors", "wide").hint("merge"), "cell")
+    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")  # a large cell is as many keys as blocks
+    joined = asked.hint("merge").join(index.blocks.select("cell", "chunk", "ids", "vectors", "wide").hint("merge"), ["cell", "chunk"])
     return joined.select("ids", "vectors", "wide", "q_ids", "q_vectors", "q_wide", "least").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
@@ -213,8 +215,8 @@ class Round:
                 for at in np.flatnonzero(need.any(0)):
                     own = need[:, at]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([c.cell[at]], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([x[own].tobytes()]), pa.array([wide]), pa.array([least[own].astype("<i8").tobytes()])],
-                        names=["cell", "q_ids", "q_vectors", "q_wide", "least"],
+                        [pa.array([c.cell[at]], pa.int32()), pa.array([c.chunks[at]], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([x[own].tobytes()]), pa.array([wide]), pa.array([least[own].astype("<i8").tobytes()])],
+                        names=["cell", "chunks", "q_ids", "q_vectors", "q_wide", "least"],
                     )
 
     def going_on(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +234,7 @@ def top_k(index: Index, queries: Column, k: int = 20) -> DataFrame:
     asked = asked.select("vec_id", "s.vector", F.lit(np.iinfo(np.int64).min).cast("long").alias("least"), "s.pivot").sortWithinPartitions("pivot", "vec_id").drop("pivot")
     asked, best, step = written(asked, "knn-queries"), None, Round(cells, index.dim, 0, FIRST * max(1, k))
     while True:
-        pairs = asked.mapInArrow(step.asked, "cell int, q_ids binary, q_vectors binary, q_wide boolean, least binary")
+        pairs = asked.mapInArrow(step.asked, "cell int, chunks int, q_ids binary, q_vectors binary, q_wide boolean, least binary")
         found = _search(pairs, index, k)
         best = written(_ranked(found if best is None else best.drop("rank").union(found), k), "knn-best")
         if step.reach >= index.n:

@@ -9,6 +9,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,25 @@ def test_topk(spark, dim, k, monkeypatch):
     assert {q: [v[i] for i in range(1, len(v) + 1)] for q, v in got.items()} == want
 
 
+def test_topk_in_annuli(spark):
+    """Enough rows for several annuli a pivot: a small share of them is searched, with the answers of brute force."""
+    rng = np.random.default_rng(8)
+    n, dim = 20_000, 10
+    centres = rng.normal(size=(150, dim)) * 4
+    x = np.floor(64 * (centres[rng.integers(0, 150, n)] + rng.normal(size=(n, dim)) * 0.4).astype(np.float32).astype(float))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list((x / 64).astype(np.float32)))}))
+    index = knn.Index(df)
+    assert len(index.cells.cell) > 1.5 * len(index.cells.pivots)
+    got = collections.defaultdict(list)
+    for r in knn.top_k(index, F.col("vec_id") % 400 == 0, 20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in range(0, n, 400):
+        scores = (x @ x[q]).astype(int)
+        own = np.lexsort((np.arange(n), -scores))
+        assert got[q] == [(int(i), int(scores[i])) for i in own[own != q][:20]]
+    assert len(got) == n // 400 and index.looked.value < 0.25 * n * len(got)
+
+
 def test_topk_stops_in_clusters(spark):
     """In clustered vectors less than a fifth of the rows is searched, with the same answers."""
     rng = np.random.default_rng(5)
