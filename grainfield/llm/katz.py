@@ -22,7 +22,8 @@ come from the written tables, and the sums meet in their blocks.
 A history of more than a share of all tokens is hot: it would be more than a task's work. Before the entries are sent, blocks ask
 for the counts of n-grams with hot histories, which are dealt by all their words. Entries whose one-word history is hot
 are dealt by two words, those whose two-word history is hot by three, and so on, and carry the counts that their partition
-cannot see. The sums of a hot history, of which there is a bounded number, are an aggregate and reach every task.
+cannot see. The sums of hot histories are an aggregate that passes through the driver and reaches every task: some hundred bytes each, and up to
+1 / ``Settings.share`` of them for each partition and level, a ten-thousandth of the text at most. This is not bounded: it grows with the input.
 Numbers of partitions follow from the number of tokens, so a task's work does not grow with the input.
 
 Nulls and odd cases: null and empty texts have the end token only. A null id is scored and not learned from.
@@ -622,7 +623,7 @@ def score(docs: DataFrame, train: Column, held: Column, settings: Settings = Set
         remove(spark, f"{paths['words' if k == 1 else f'hot{k}']}/kind=0")
     known = [_sum_of(t) for t in (*told[1:], tables)]
     d = {1: c.unigrams.d} | {k: discounts([sum(x.get(k, [0] * (K + 1))[i] for x in known) for i in range(K + 1)]) for k in range(2, n + 1)}
-    # hot histories of a level are at most total / hot: a few for each partition
+    # hot histories of a level are at most total / hot: up to four for each partition, so they grow with the input
     hot = tables.where("kind = 3").select("level", "n", "real")
     for t in told[1:]:
         hot = hot.union(t.where("kind = 3").select("level", "n", "real"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from grainfield.llm import katz, langid, minhash, mixing, packing, queries, substring
-from grainfield.llm.common import Words, pack, slide, steps, unpack
+from grainfield.llm.common import Words, pack, slide, steps, unpack, written
 from grainfield.llm.components import connected_components, join_roots
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -305,6 +305,27 @@ def test_katz_tells_repeated_texts_apart(spark):
     assert mean(gain[3], n) > mean(gain[2], n)
 
 
+def test_katz_registered_query(spark, sf_dir):
+    """The query on its table: scores against dictionaries, the exact columns against SQL."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    tokens = {i: (t or "").encode().translate(LOWER).split() + [None] for i, t in texts.items()}
+    want, _, total = katz_by_hand(tokens, [t for i, t in tokens.items() if not held[i]], 3)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_katz"](spark, sf_dir).collect()}
+    assert set(got) == set(texts) and all(got[i]["score"] == pytest.approx(want[i], rel=1e-9) and got[i]["held_out"] == held[i] for i in texts)
+    con = duckdb.connect()
+    con.execute("create table held as select * from (values " + ", ".join(f"({i}, {h})" for i, h in held.items()) + ") as h(doc_id, held_out)")
+    base = con.execute(rf"""
+WITH t AS (SELECT doc_id, held_out, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), chr(10))) AS w
+  FROM read_parquet('{sf_dir}/documents.parquet') JOIN held USING (doc_id)),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, count(*), count(c), any_value(n)::BIGINT, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) FROM t LEFT JOIN c USING (w), n GROUP BY doc_id""").fetchall()
+    assert len(base) == len(texts)
+    for i, size, known, n, score in base:
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (size, known, n) and n == total and got[i]["base_score"] == pytest.approx(score, rel=1e-12)
+
+
 @pytest.mark.parametrize("n", [[207344, 59772, 25017, 14274, 13493, 7080], [1579638, 246704, 51653, 21705, 18939, 7580], [900, 300, 0, 80, 60, 41], [30, 0, 4, 0, 0, 0]])
 def test_katz_irregular_counts_of_counts(n):
     """Discounts stay those of Good-Turing: (r + 1) n(r + 1) / (r n(r)) of a falling line, less the share of counts above K."""
@@ -635,3 +656,17 @@ def test_oracles_of_documents(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir)
     cols = sorted(got.columns)
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(con.execute(f"select {', '.join(cols)} from ({queries.ORACLE[name]})").fetchall())
+
+
+def test_packing_deals_equal_ids(spark):
+    """Rows without an id, and repeats of one, are dealt to many groups, and all is packed."""
+    n = 3000
+    cut = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit(5)).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(300).alias("length"), F.col("id").alias("_pack_row"))
+    cut = written(cut, "cut")
+    assert cut.select(F.pmod(F.xxhash64("_pack_row"), F.lit(64))).distinct().count() == 64
+    got = packing.pack(cut).collect()
+    assert "_pack_row" not in got[0] and len(got) == n
+    spans = collections.defaultdict(list)
+    for r in got:
+        spans[r["sequence_id"]].append(r["offset"])
+    assert len(spans) == n // 3 and all(sorted(s) == [0, 300, 600] for s in spans.values())
