@@ -135,13 +135,14 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 a AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM t),
-b AS (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) - tokens) // 384 AS stride, tokens > 384 AS alone FROM a),
+r AS (SELECT *, greatest(1, (1024 - 128 - greatest(128, coalesce(max(tokens) FILTER (nth = 1 AND role = 'system') OVER (PARTITION BY conv_id), 0))) // 2) AS room FROM a),
+b AS (SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) - tokens) // room AS stride, tokens > room AS alone FROM r),
 c AS (SELECT *, coalesce(stride <> lag(stride) OVER w OR alone OR lag(alone) OVER w, false)::INT AS new FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY nth)),
 d AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY nth) AS win FROM c),
 e AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id, win ORDER BY nth DESC) AS tail, max(win) OVER (PARTITION BY conv_id) AS last FROM d),
 f AS (
   SELECT *, length(replace(replace(role, '\', '\b'), '<|', '\l')) + length(replace(replace(text, '\', '\b'), '<|', '\l')) + 16 AS size,
-    CASE WHEN nth = 1 AND role = 'system' AND tokens <= 128 THEN last - win WHEN tail <= 128 AND win < last THEN 1 ELSE 0 END AS again FROM e)
+    CASE WHEN nth = 1 AND role = 'system' THEN last - win WHEN tail <= 128 AND win < last THEN 1 ELSE 0 END AS again FROM e)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

@@ -302,3 +302,15 @@ def test_archives_are_unpacked_as_they_are_read():
     for bad in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", record(5)[:-6], b"nonsense", record(1) + b"GET / \r\n\r\n"):
         with pytest.raises(ValueError):
             list(warc.parse(bad))
+
+
+@pytest.mark.parametrize("size", [100, 128, 129, 300, 2000])
+def test_chat_sql_with_long_system_turns(spark, tmp_path, size):
+    rng = random.Random(size)
+    words = lambda n: " ".join(rng.choice(["a", "bc", "<|", "\\"]) for _ in range(n))
+    rows = [(c, t, "system" if t == 0 else ("user", "assistant")[t % 2 - 1], words(size if t == 0 else rng.randint(0, 200))) for c in range(4) for t in range(12)]
+    spark.createDataFrame(rows, TURNS).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = queries.QUERIES["op3_chat"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({queries.ORACLE['op3_chat']})").fetchall())
