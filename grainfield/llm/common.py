@@ -70,13 +70,13 @@ def stored(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-#: Rows of a small table that one task writes.
-TASK_ROWS = 1 << 16
+#: Rows of a table that one task writes, and of a table smaller than that for each core.
+TASK_ROWS, FEW_ROWS = 1 << 16, 1 << 13
 
 
 def few_tasks(df: DataFrame, rows: int) -> DataFrame:
-    """df in a task for every TASK_ROWS of at most rows, one a core at least: a small table takes no more tasks, and files, than it is worth."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS))
+    """df in a task for every FEW_ROWS of at most rows up to one a core, then for every TASK_ROWS: a small table takes no more tasks, and files, than it is worth."""
+    return df.coalesce(max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // FEW_ROWS), rows // TASK_ROWS))
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
