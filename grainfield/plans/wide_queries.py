@@ -41,7 +41,7 @@ def leading_scores_1(spark, d):
 
 def _three(spark, d, many: int):
     m = _matrix(spark, d, "phase3")
-    return fit(m, 3, 3, 1e-15, many=many).transform(m).select("voxel_id", *[F.round(F.get(F.array_sort("scores"), F.lit(i)), 3).alias(c) for i, c in enumerate(("lo", "mid", "hi"))])
+    return fit(m, 3, 3, 1e-15, many=many).transform(m).select("voxel_id", *[F.round(F.get(F.array_sort("scores"), F.lit(i)), 2).alias(c) for i, c in enumerate(("lo", "mid", "hi"))])
 
 
 def varimax_scores_3(spark, d):
@@ -89,7 +89,7 @@ w AS (SELECT 0 AS step, (SELECT list(s ORDER BY k) FROM o) AS m, [1.0::DOUBLE, 0
 t AS (SELECT voxel_id, a, b, c, [{column(0)}, {column(1)}, {column(2)}] AS t FROM y, (SELECT r FROM w WHERE step = {3 * sweeps})),
 l AS (SELECT {load(0)} AS l0, {load(1)} AS l1, {load(2)} AS l2 FROM t), s AS (SELECT {sign(0)}, {sign(1)}, {sign(2)} FROM l),
 z AS (SELECT voxel_id, list_sort([t[1] * s0, t[2] * s1, t[3] * s2]) AS z FROM t, s)
-SELECT voxel_id, round(z[1], 3) AS lo, round(z[2], 3) AS mid, round(z[3], 3) AS hi FROM z"""
+SELECT voxel_id, round(z[1], 2) AS lo, round(z[2], 2) AS mid, round(z[3], 2) AS hi FROM z"""
 
 
 _ORDERS = "c AS (SELECT l_orderkey AS voxel_id, l_suppkey AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL)"

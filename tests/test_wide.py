@@ -135,3 +135,15 @@ def test_both_rotations_agree(spark):
     m = dense_table(spark, x)
     a, b = fit(m, 12, 3, 1e-12), fit(m, 12, 3, 1e-12, many=1)
     assert a.converged and b.converged and np.abs(a.to_scores - b.to_scores).max() < 1e-6 * np.abs(a.to_scores).max()
+
+
+def test_rotation_row_tells(spark, sf_dir):
+    """The rows of varimax_scores_3 are not those of a fit without its rotation."""
+    from grainfield.plans.queries import _matrix
+    from grainfield.plans.wide_queries import varimax_scores_3
+
+    m = _matrix(spark, sf_dir, "phase3")
+    bare = fit(m, 3, 3, max_iter=0).transform(m)
+    bare = {(r["voxel_id"], *(round(x, 2) for x in sorted(r["scores"]))) for r in bare.collect()}
+    rows = {tuple(r) for r in varimax_scores_3(spark, sf_dir).collect()}
+    assert len(rows & bare) < 0.2 * len(rows)
