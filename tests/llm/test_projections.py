@@ -9,6 +9,4 @@ from grainfield.llm import queries
 def test_count_and_one_column(spark, sf_dir, name):
     own = queries.QUERIES[name](spark, sf_dir)
     n = own.count()
-    assert n > 0
-    for c in (own.columns[0], own.columns[-1]):
-        assert own.select(c).count() == n and len(own.select(c).collect()) == n
+    assert n > 0 and len(own.select(own.columns[-1]).collect()) == n
