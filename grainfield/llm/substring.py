@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, scratch_path, slide, steps, written
+from .common import Words, mix64, scratch_folder, scratch_path, slide, steps, stored, written
 
 #: Words of an anchor.
 K = 16
@@ -263,11 +263,12 @@ def _second_look(waiting: DataFrame, window: int, with_text: bool) -> DataFrame:
 
 def repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFrame:
     """(doc_id, _ss_key, n_words, n_removed, kept_sha256, kept) of every row; kept: the text left, if asked for."""
-    spark = docs.sparkSession
-    anchors = written(anchor_table(docs, window), "ss-anchors")
-    # written before it is joined: Spark splits the partition of a hot node only where both sides come straight from a shuffle
-    nodes = written(repeated_nodes(anchors.select("node", "doc_id", "context", "before", "gap")), "ss-nodes")
-    marks = walks(anchors, nodes, plain_paths(nodes))
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "ss-marks")
+    with scratch_folder(spark, "ss-graph"):  # the graph goes, with its shuffles, before texts are moved
+        anchors = written(anchor_table(docs, window), "ss-anchors")
+        # written before it is joined: Spark splits the partition of a hot node only where both sides come straight from a shuffle
+        nodes = written(repeated_nodes(anchors.select("node", "doc_id", "context", "before", "gap")), "ss-nodes")
+        marks = stored(walks(anchors, nodes, plain_paths(nodes)), path)
     looked = _first_look(_keyed(docs).join(marks, ["doc_id", "_ss_key"], "left"), window, with_text)
     path = scratch_path(spark, "ss-looked")
     looked.write.option("compression", "zstd").partitionBy("kind").parquet(path)
