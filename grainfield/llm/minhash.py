@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, steps, written
+from .common import Words, mix64, scratch_folder, scratch_path, steps, stored, written
 from .components import connected_components, join_roots
 
 
@@ -232,7 +232,14 @@ def _sets(docs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
 
 
 def _linked(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """(u, v): edges between classes, by fp1, that connect what links of pairs sharing a bucket connect."""
+    """(u, v): edges between classes, by fp1, that connect what links of pairs sharing a bucket connect; a table, without those it is made of."""
+    path = scratch_path(docs.sparkSession, "mh-links")
+    with scratch_folder(docs.sparkSession, "mh-linked"):
+        return stored(_links(docs, classes, s), path)
+
+
+def _links(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """The edges of ``_linked``."""
     n = classes.count()
     bands = classes.select("fp1", F.explode("keys").alias("key"))
     hubs = written(bands.groupBy("key").agg(F.min("fp1").alias("hub"), F.max("fp1").alias("_mh_last")).where("hub < _mh_last").select("key", "hub"), "mh-hubs", n * s.bands)
@@ -260,7 +267,7 @@ def _linked(docs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     left = written(entries.join(open_, "key").join(members.select("fp1", "n"), "fp1").select("fp1", "n", "key", "hub"), "mh-left", n * s.bands)
     pairs = _dealt(_cheapest(left), s).join(sets, "fp1")
     more = pairs.groupBy("g", "lo", "hi").applyInArrow(_verified(s.percent), "u long, v long")
-    return written(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "mh-links")
+    return found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
 
 
 def _cheapest(left: DataFrame) -> DataFrame:
