@@ -109,10 +109,15 @@ def cross_blocks(m: DataFrame, width: int, images: Callable[[np.ndarray], tuple[
     return add_blocks(m.select("x").mapInArrow(run, BLOCK))
 
 
+def both_triangles(upper: DataFrame) -> DataFrame:
+    """(i, j, value) of both triangles from those of the upper one."""
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return upper.select(F.explode(sides).alias("s"), "value").select("s.i", "s.j", "value")
+
+
 def entries(blocks: DataFrame) -> DataFrame:
     """(i, j, value) of both triangles from blocks."""
-    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    return _upper(blocks).select(F.explode(sides).alias("s"), "value").select("s.i", "s.j", "value")
+    return both_triangles(_upper(blocks))
 
 
 def gram(m: DataFrame, width: int, image: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:

@@ -13,8 +13,10 @@ from ..functions.grid import GridSpec
 from .moments import BLOCK, add_blocks, triangle_blocks
 from .voxels import located
 
-#: Features up to which a task holds the sums of all pairs (as many doubles, squared); wider models take ``leading``.
+#: Features up to which a task holds the sums of all pairs (as many doubles, squared); wider models take ``leading``, and sums ``pair_sums``.
 MOST = 4096
+#: Features of a voxel whose pairs are made in one step of ``pair_sums``; those of voxels with more are made in tiles, over all tasks.
+TILE = 256
 #: Products of pairs that one step makes.
 _STEP = 1 << 21
 
@@ -96,6 +98,25 @@ def sparse_gram_blocks(m: DataFrame, width: int) -> DataFrame:
     return add_blocks(m.select("idx", "n").mapInArrow(run, BLOCK), size)
 
 
+def pair_sums(m: DataFrame, tile: int = TILE) -> DataFrame:
+    """(i, j, value): sums over all voxels of n_i n_j for i <= j, of features that any voxel has both; for any number of features.
+
+    Pairs are made from each row and added up by a shuffle after partial sums, so no task holds more than pairs that occur. A voxel of more
+    than ``tile`` features is cut into tiles, dealt out over all tasks.
+    """
+    f = F.arrays_zip("idx", "n").alias("f")
+    left = F.sequence(F.lit(0), F.floor((F.size("f") - 1) / tile).cast("int"))
+    part = lambda at: F.slice("f", at * tile + 1, F.lit(tile))
+    own = m.select("voxel_id", f)
+    cut = own.where(F.size("f") > tile).select("voxel_id", F.transform(left, part).alias("parts"))
+    tiles = cut.select("voxel_id", "parts", F.posexplode("parts").alias("a", "p"))
+    tiles = tiles.select("voxel_id", "a", "p", F.posexplode(F.slice("parts", F.col("a") + 1, F.size("parts"))).alias("b", "q"))  # each with itself and those right of it
+    tiles = tiles.repartition("voxel_id", "a", "b").select("p", "q")
+    both = own.where(F.size("f") <= tile).select(F.col("f").alias("p"), F.col("f").alias("q")).union(tiles)
+    pairs = both.select(F.explode("p").alias("p"), "q").select("p", F.explode("q").alias("q")).where("p.idx <= q.idx")
+    return pairs.groupBy(F.col("p.idx").alias("i"), F.col("q.idx").alias("j")).agg(F.sum(F.col("p.n") * F.col("q.n")).alias("value"))
+
+
 def project_sparse(m: DataFrame, to_scores: np.ndarray) -> DataFrame:
     """(voxel_id, scores) with scores = x @ to_scores."""
     p = to_scores.shape[1]

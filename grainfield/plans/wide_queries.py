@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.model import fit, fit_leading
-from ..operators.moments import entries
-from ..operators.sparse import dense_of, sparse_gram_blocks, sparse_rows, sparse_voxelize
+from ..operators.moments import both_triangles
+from ..operators.sparse import dense_of, pair_sums, sparse_rows, sparse_voxelize
 from .queries import _M3, _matrix, _rows
 from .recipes import GRID, NAMES, PHASE3, ion_types, lineitem_ions
 
 
-def _orders(spark, d) -> tuple[DataFrame, int]:
-    """Orders as voxels and suppliers as features: a few of many in each; and the number of features."""
+def _orders(spark, d) -> DataFrame:
+    """Orders as voxels and suppliers as features: a few of many in each."""
     lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("voxel_id"), F.col("l_suppkey").cast("int").alias("feature_idx"), F.lit(1.0).alias("n"))
-    most = spark.read.parquet(f"{d}/supplier.parquet").agg(F.max("s_suppkey").alias("m")).first()["m"]
-    return sparse_rows(lines), int(most) + 1
+    return sparse_rows(lines)
+
+
+def _suppliers(spark, d) -> int:
+    """The number of features of ``_orders``."""
+    return int(spark.read.parquet(f"{d}/supplier.parquet").agg(F.max("s_suppkey").alias("m")).first()["m"]) + 1
 
 
 def sparse_voxel_matrix(spark, d):
@@ -27,15 +31,14 @@ def sparse_voxel_matrix(spark, d):
 
 def sparse_second_moments(spark, d):
     """Sums of products of counts of every two suppliers over all orders, where there are any."""
-    own, width = _orders(spark, d)
-    sums = entries(sparse_gram_blocks(own, width)).where((F.col("i") < width) & (F.col("j") < width) & (F.col("value") != 0))
+    sums = both_triangles(pair_sums(_orders(spark, d)))
     return sums.select("i", "j", F.col("value").cast("long").alias("total"))
 
 
 def leading_scores_1(spark, d):
     """Scores of orders on the first factor of their suppliers, without a matrix of suppliers."""
-    own, width = _orders(spark, d)
-    model = fit_leading(own, width, 1, eigen_tol=1e-11)
+    own = _orders(spark, d)
+    model = fit_leading(own, _suppliers(spark, d), 1, eigen_tol=1e-11)
     return model.transform(own).select("voxel_id", F.round(F.get("scores", F.lit(0)), 2).alias("score"))
 
 

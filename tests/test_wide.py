@@ -8,8 +8,8 @@ from grainfield.functions.grid import GridSpec
 from grainfield.operators import algebra
 from grainfield.operators.leading import feature_sums, leading_eigen
 from grainfield.operators.model import fit, fit_leading, moments_of
-from grainfield.operators.moments import gram_blocks, matrix_of
-from grainfield.operators.sparse import dense_of, project_sparse, sparse_gram_blocks, sparse_rows, sparse_voxelize
+from grainfield.operators.moments import both_triangles, gram_blocks, matrix_of
+from grainfield.operators.sparse import dense_of, pair_sums, project_sparse, sparse_gram_blocks, sparse_rows, sparse_voxelize
 from grainfield.operators.voxels import voxelize
 
 
@@ -71,6 +71,31 @@ def test_sparse_moments(spark, k):
         sparse_gram_blocks(sparse, 5000)
 
 
+@pytest.mark.parametrize("tile", [3, 256])
+def test_pair_sums_of_many_features(spark, tile):
+    """More features than a task holds pairs of, voxels of several tiles, one of just a tile, and one without any."""
+    k = 5000
+    x = phases(60, k, 3)
+    x[5], x[6] = 0, 0
+    x[6, 10:13] = 2
+    got = {(r["i"], r["j"]): r["value"] for r in both_triangles(pair_sums(sparse_table(spark, x), tile)).collect()}
+    want = x.T @ x
+    assert got == {(int(i), int(j)): want[i, j] for i, j in zip(*np.nonzero(want))}
+
+
+def test_second_moments_of_many_suppliers(spark, sf_dir, tmp_path):
+    """Five thousand suppliers, in two copies of the orders that share none."""
+    from grainfield.plans.wide_queries import sparse_second_moments
+
+    own = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    small = {tuple(r) for r in sparse_second_moments(spark, sf_dir).collect()}
+    far = own.withColumns({"l_orderkey": F.col("l_orderkey") + 10**7, "l_suppkey": F.col("l_suppkey") + 5000})
+    own.unionByName(far).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(5100).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = sparse_second_moments(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * len(small) and {tuple(r) for r in rows} == small | {(i + 5000, j + 5000, v) for i, j, v in small}
+
+
 def test_sparse_fit(spark):
     x = phases(300, 12, 3)
     dense, sparse = dense_table(spark, x), sparse_table(spark, x)
