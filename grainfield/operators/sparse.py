@@ -33,9 +33,13 @@ def sparse_rows(counts: DataFrame) -> DataFrame:
 
 
 def sparse_voxelize(ions: DataFrame, ion_types: DataFrame, grid: GridSpec) -> DataFrame:
-    """(voxel_id, idx, n) of ions inside the grid, of the types in (feature_idx, ion): a join, however many types there are."""
-    own = located(ions, grid, "strict").where("voxel_id is not null").select("voxel_id", "ion")
-    return sparse_rows(own.join(ion_types.select("feature_idx", "ion"), "ion").groupBy("voxel_id", "feature_idx").agg(F.count("*").alias("n")))
+    """(voxel_id, idx, n) of ions inside the grid, of the types in (feature_idx, ion): a join, however many types there are.
+
+    Ions are counted before they are joined, and types, which a model has on the driver too, go to all tasks: a shuffle of ions by their type
+    would have as many tasks as there are types.
+    """
+    own = located(ions, grid, "strict").where("voxel_id is not null").groupBy("voxel_id", "ion").agg(F.count("*").alias("n"))
+    return sparse_rows(own.join(F.broadcast(ion_types.select("feature_idx", "ion")), "ion"))
 
 
 def dense_of(m: DataFrame, k: int) -> DataFrame:

@@ -53,6 +53,18 @@ def test_sparse_voxelize(spark):
     assert got == {r["voxel_id"]: list(r["x"]) for r in voxelize(ions, names, grid).collect() if any(r["x"])} and len(got) > 10
 
 
+def test_sparse_voxelize_joins_counts(spark):
+    """Not ions are joined to their types, but counts of each cell and type: one row of them here. Types may share a feature or be listed twice."""
+    ions = spark.range(0, 9000, 1, 4).select(*[(F.col("id") % 2 / 4).cast("float").alias(c) for c in "xyz"], F.concat(F.lit("t"), (F.col("id") % 1).cast("string")).alias("ion"))
+    types = spark.createDataFrame([(0, "t0"), (2, "t0"), (2, "t0"), (1, "u")], "feature_idx int, ion string")
+    rows = sparse_voxelize(ions, types, GridSpec((0, 0, 0), (1, 1, 1), (4, 3, 2)))
+    assert [(list(r["idx"]), list(r["n"])) for r in rows.collect()] == [([0, 2], [9000.0, 18000.0])]
+    own = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(k for k, x in enumerate(own) if "Join" in x)
+    assert any("Aggregate" in x and "ion" in x for x in own[join + 1 :])
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("k", [7, 1000])
 def test_sparse_moments(spark, k):
     """Ten types a voxel of as many as 1000: equal moments."""
