@@ -8,7 +8,7 @@ vectors (thick restart).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,39 +18,60 @@ from .moments import BLOCK, add_blocks, tall_matrix, tall_slices
 from .sparse import entries_of, times, transposed_times
 
 
-def feature_sums(m: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """Mean of each feature and number of rows, from (idx, n) rows."""
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of that many entries or more, so that what a batch costs besides them, a number a feature, is not paid for a few."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column(0).flatten())
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _summed(m: DataFrame, width: int, cols: int, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum of part(batch), width x cols, over batches of all rows' (idx, n).
+
+    A task's sums are as wide as the model, so there are as many tasks as cores (which read what is kept where it is), not as the data has parts:
+    what is shuffled grows with the features alone.
+    """
+    tasks = m.sparkSession.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width + 1, 1))
-        for batch in batches:
-            idx, n, _ = entries_of(batch.column(0), batch.column(1))
-            total[:width, 0] += np.bincount(idx, n, width)
-            total[width] += len(batch)
-        if total[width]:
+        total = None
+        for batch in _gathered(batches, width):
+            own = part(batch)
+            total = own if total is None else np.add(total, own, out=total)
+        if total is not None:
             yield tall_slices(total)
 
-    sums = tall_matrix(add_blocks(m.select("idx", "n").mapInArrow(run, BLOCK)), width + 1, 1)[:, 0]
+    return tall_matrix(add_blocks(m.select("idx", "n").coalesce(tasks).mapInArrow(run, BLOCK), tasks=tasks), width, cols)
+
+
+def feature_sums(m: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """Mean of each feature and number of rows, from (idx, n) rows."""
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        idx, n, _ = entries_of(batch.column(0), batch.column(1))
+        return np.append(np.bincount(idx, n, width), len(batch))[:, None]
+
+    sums = _summed(m, width + 1, 1, part)[:, 0]
     n = int(sums[-1])
     return sums[:-1] / max(n, 1), n
 
 
 def product(m: DataFrame, width: int, q: np.ndarray) -> np.ndarray:
     """X'(X q) over all rows."""
-    spark = m.sparkSession
-    shared = spark.sparkContext.broadcast(q)  # features times a few columns
+    shared = m.sparkSession.sparkContext.broadcast(q)  # features times a few columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            idx, n, row = entries_of(batch.column(0), batch.column(1))
-            part = transposed_times(idx, n, row, width, times(idx, n, row, len(batch), shared.value))
-            total = part if total is None else total + part
-        if total is not None:
-            yield tall_slices(total)
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        idx, n, row = entries_of(batch.column(0), batch.column(1))
+        return transposed_times(idx, n, row, width, times(idx, n, row, len(batch), shared.value))
 
     try:
-        return tall_matrix(add_blocks(m.select("idx", "n").mapInArrow(run, BLOCK)), width, q.shape[1])
+        return _summed(m, width, q.shape[1], part)
     finally:
         shared.unpersist()
 

@@ -49,11 +49,13 @@ def _upper(blocks: DataFrame) -> DataFrame:
     return own.select((F.col("i") + F.floor(F.col("at") / F.col("cols"))).cast("int").alias("i"), (F.col("j") + F.col("at") % F.col("cols")).cast("int").alias("j"), "value").where("i <= j")
 
 
-def add_blocks(parts: DataFrame, size: int = NARROW + 1) -> DataFrame:
+def add_blocks(parts: DataFrame, size: int = NARROW + 1, tasks: int = GROUPS + 1) -> DataFrame:
     """Blocks of tasks added up: those of a narrow matrix, of that size, entry by entry, as blocks of one entry; others in two levels, so that
-    no task adds up those of all tasks."""
+    no task adds up those of all tasks, or in one, if it is known that so many tasks or fewer give any and these are at most GROUPS."""
     if size <= NARROW:
         return _upper(parts).groupBy("i", "j").agg(F.array(F.sum("value")).alias("v")).select("i", "j", F.lit(1).alias("cols"), "v")
+    if tasks <= GROUPS:
+        return parts.groupBy("i", "j").applyInArrow(_added, BLOCK)
     level = parts.withColumn("g", F.spark_partition_id() % GROUPS)
     once = level.groupBy("i", "j", "g").applyInArrow(_added, BLOCK)
     return once.groupBy("i", "j").applyInArrow(_added, BLOCK)

@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainfield.functions.grid import GridSpec
-from grainfield.operators import algebra
-from grainfield.operators.leading import feature_sums, leading_eigen
+from grainfield.operators import algebra, leading
+from grainfield.operators.leading import feature_sums, leading_eigen, product
 from grainfield.operators.model import fit, fit_leading, moments_of
-from grainfield.operators.moments import both_triangles, gram_blocks, matrix_of
+from grainfield.operators.moments import SIDES, add_blocks, both_triangles, gram_blocks, matrix_of
 from grainfield.operators.sparse import dense_of, pair_sums, project_sparse, sparse_gram_blocks, sparse_rows, sparse_voxelize
 from grainfield.operators.voxels import voxelize
 
@@ -132,6 +132,24 @@ def test_leading_eigenvalues_of_a_wide_model(spark):
     assert np.abs(x.T @ (x @ vectors) / n - mean[:, None] * vectors * values).max() < 1e-5 * values[0]
 
 
+def test_leading_sums_by_cores(spark, monkeypatch):
+    """However many parts the rows have, sums as wide as the model come from as many tasks as there are cores."""
+    k, given = 5000, []
+    x = phases(300, k, 3)
+    m = sparse_table(spark, x, 40)
+
+    def counted(parts, *args, **kwargs):
+        given.append(parts.count())
+        return add_blocks(parts, *args, **kwargs)
+
+    monkeypatch.setattr(leading, "add_blocks", counted)
+    q = np.random.default_rng(2).normal(size=(k, 2))
+    assert np.allclose(product(m, k, q), x.T @ (x @ q))
+    mean, n = feature_sums(m, k)
+    assert n == 300 and np.allclose(mean, x.mean(0))
+    assert len(given) == 2 and max(given) <= SIDES * spark.sparkContext.defaultParallelism
+
+
 def test_leading_fit_is_the_fit(spark):
     x = phases(300, 30, 3, seed=5)
     x[:, 7] = 0
