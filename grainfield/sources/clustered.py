@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.grid import GridSpec, voxel_id
+from ..functions.grid import GridSpec, component_score, voxel_id
 from ..operators.select import hit_voxels
-from .log import Log, stored_rows
+from .log import Log, store_rows, stored_rows
 
 #: Blocks of a layout at most; each is a folder, and hit blocks are sent to all tasks.
 MOST = 1 << 16
@@ -75,9 +77,13 @@ class ClusteredIons:
         """The rows of ``select_ions`` with the layout's grid and bounds.
 
         Hit blocks, of which there are at most as many as the layout has, are broadcast; the scan takes them as a dynamic filter of its folders, and
-        cells are compared in what is left. An inverted selection reads every block, but only rows of hit blocks are compared.
+        cells are compared in what is left. An inverted selection reads every block, but only rows of hit blocks are compared. Scores are computed
+        once, now, and stored beside the data: they are used twice, Spark then knows their size, and blocks and cells are no filters of the rows
+        that scores are made from, where they would be worked out for each ion.
         """
-        hits = hit_voxels(scores, component, isovalue).select(F.col("voxel_id").alias("_hit_cell"), block_of(F.col("voxel_id"), self.grid, self.side).alias("_hit_block"))
+        own = scores.select("voxel_id", F.array(component_score(F.col("scores"), component)).alias("scores"))
+        kept = stored_rows(self.spark, [store_rows(own, f"{self.path}/scores-{uuid.uuid4().hex}")])
+        hits = hit_voxels(kept, 0, isovalue).select(F.col("voxel_id").alias("_hit_cell"), block_of(F.col("voxel_id"), self.grid, self.side).alias("_hit_block"))
         blocks = F.broadcast(hits.select("_hit_block").distinct())
         own = self.table()
         if invert:

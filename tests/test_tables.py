@@ -243,6 +243,22 @@ def test_clustered_selects_alike(spark, tmp_path, bounds):
             assert got.columns == ions.columns and values(got) == values(select_ions(ions, scores, GRID, 0, isovalue, invert, bounds))
 
 
+@pytest.mark.parametrize("invert", [False, True])
+def test_clustered_computes_scores_once(spark, tmp_path, invert):
+    """Scores that are still to be computed are so once, and neither blocks nor cells become filters of the rows they are made from."""
+    seen, ions, scores = spark.sparkContext.accumulator(0), ions_of(spark), scores_of(spark, range(0, 120))
+    laid = ClusteredIons.write(ions, f"{tmp_path}/ions", GRID, (2, 2, 2))
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    lazy = scores.mapInArrow(counted, SCORES)
+    picked = laid.select(lazy, 0, 5.0, invert)
+    assert values(picked) == values(select_ions(ions, scores, GRID, 0, 5.0, invert)) and seen.value == 120
+
+
 def test_clustered_reads_hit_blocks_only(spark, tmp_path):
     ions = ions_of(spark, 3000)
     laid = ClusteredIons.write(ions, f"{tmp_path}/ions", GRID, (2, 2, 2))
